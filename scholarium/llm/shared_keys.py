@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 _PACKED = "bucket int, keys binary, docs binary, known binary, own_keys binary, own_docs binary"
 
 
-def _pairs(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct_pairs(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs by key, and which of them have a key of several documents."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
@@ -41,7 +41,7 @@ def shared_keys(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.nd
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs, twin = _pairs(*keys_of(batch))
+            keys, docs, twin = distinct_pairs(*keys_of(batch))
             own_keys, own_docs = keys[twin], docs[twin]
             keys, docs, known = keys[~twin], docs[~twin], np.unique(own_keys)
             place = lambda k: ((k >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
@@ -56,7 +56,7 @@ def shared_keys(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.nd
 
     def meet(table: pa.Table) -> pa.Table:
         part = {n: np.frombuffer(b"".join(table.column(n).to_pylist()), np.int64 if "docs" in n else np.uint64) for n in table.column_names if n != "bucket"}
-        keys, docs, twin = _pairs(part["keys"], part["docs"])
+        keys, docs, twin = distinct_pairs(part["keys"], part["docs"])
         twin |= np.isin(keys, part["known"])
         return pa.table({"doc_id": np.concatenate([docs[twin], part["own_docs"]]), "key": np.concatenate([keys[twin], part["own_keys"]]).view(np.int64)})
 

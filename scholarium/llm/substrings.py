@@ -5,11 +5,16 @@ refined by the buckets that the same suffixes have at later offsets, until LENGT
 is the fingerprint of its string, so the bucket at a later offset is computed where the text lies and needs no lookup.
 
 1. Of each LENGTH-byte window only the suffix with the smallest Q-gram fingerprint (its leftmost minimum) is taken; equal
-   windows choose equal suffixes, so one suffix in about LENGTH/4 is enough, and those of single documents drop out.
-2. A run of windows that chose one suffix is a block. Blocks are refined by all of their bytes: a block that an earlier
-   document has too is removed whole, and its windows need no further look.
+   windows choose equal suffixes, so one suffix in about LENGTH/4 is enough. Four bytes of each travel once, to find the
+   buckets of several documents; a bit map of these, of bounded size, goes to the executors. It may name a bucket too
+   many, which costs time only.
+2. A run of windows that chose one suffix is a block. Blocks in such buckets are refined by all of their bytes: a block
+   that an earlier document has too is removed whole, and its windows need no further look.
 3. What is left in a bucket with several different blocks is refined window by window, by the buckets at the offsets Q
    and LENGTH - Q of the window.
+
+A bucket that a third of all documents share is first looked at batch by batch, and what a batch can tell by itself does
+not travel to one place: at most one message and one note a batch do.
 """
 
 from __future__ import annotations
@@ -23,11 +28,16 @@ from pyspark.sql import functions as F
 
 from scholarium.llm import hashing as H
 from scholarium.llm.frames import materialise, partitions
-from scholarium.llm.shared_keys import shared_keys
+from scholarium.llm.shared_keys import distinct_pairs
 
 LENGTH = 50
 Q = 24
+#: Bytes of the bit map at most.
+MAP_BYTES = 64 << 20
 _LOW = 20
+_NOTES = "bucket int, single binary, several binary"
+_WINDOWS = "bucket int, hash binary, check binary, doc_id binary, first binary, own_doc_id binary, own_first binary"
+_MESSAGES = "bucket int, key binary, block binary, doc_id binary, at binary, lone binary, noted binary, own_doc_id binary, own_at binary"
 
 
 class _Run:
@@ -59,8 +69,69 @@ class _Run:
         return H.mix((self.sums[first + size] - self.sums[first]) * self.inverse[first] + np.asarray(size).astype(np.uint64) * H.FACTORS[61])
 
 
-def _tagged(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    return H.mix(keys + docs.astype(np.uint64) * H.FACTORS[60])
+def _packed(parts: dict[str, tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """A row for each bucket in use; parts: by column, the bucket of each value and the values."""
+    out = {}
+    for name, (where, values) in parts.items():
+        order = np.argsort(where, kind="stable")
+        cuts = np.cumsum(np.bincount(where, minlength=buckets))[:-1]
+        out[name] = [x.tobytes() for x in np.split(values[order], cuts)]
+    used = [i for i in range(buckets) if any(x[i] for x in out.values())]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array([x[i] for i in used], pa.binary()) for x in out.values())], names=["bucket", *out])
+
+
+def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+class _Map:
+    """A bit map in slices, one for each bucket of keys."""
+
+    def __init__(self, slices: list[tuple[int, bytes]], buckets: int):
+        parts = dict(slices)
+        self.sizes = np.array([len(parts.get(i) or b"\0") * 8 for i in range(buckets)], np.uint64)
+        bits = [np.frombuffer(parts.get(i) or b"\0", np.uint8) for i in range(buckets)]
+        self.starts = np.cumsum([0] + [len(x) * 8 for x in bits[:-1]])
+        self.bits, self.buckets = np.concatenate(bits), buckets
+
+    @staticmethod
+    def bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+        return ((keys >> H.U(32)) % H.U(buckets)).astype(np.int64)
+
+    @staticmethod
+    def places(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = H.mix(low.astype(np.uint64) + H.FACTORS[59])
+        return h >> H.U(32), h & H.U(0xFFFFFFFF)
+
+    @staticmethod
+    def slice(low: np.ndarray, most: int) -> bytes:
+        bits = np.zeros(min(most, 2 * len(low) + 8), np.uint8)
+        for p in _Map.places(low):
+            p %= H.U(len(bits) * 8)
+            np.bitwise_or.at(bits, (p >> H.U(3)).astype(np.int64), (1 << (p & H.U(7)).astype(np.uint8)).astype(np.uint8))
+        return bits.tobytes()
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        bucket = self.bucket(keys, self.buckets)
+        size, start, found = self.sizes[bucket], self.starts[bucket], np.ones(len(keys), bool)
+        for part in self.places(keys & H.U(0xFFFFFFFF)):
+            p = start + (part % size).astype(np.int64)
+            found &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+        return found
+
+
+def _refine(key: np.ndarray, block: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Blocks by bucket, block and document; which of them an earlier document has; which share their bucket with another block."""
+    order = np.lexsort((doc, block, key))
+    key, block, doc, at = key[order], block[order], doc[order], at[order]
+    other_key = np.ones(len(key), bool)
+    other_key[1:] = key[1:] != key[:-1]
+    other = other_key.copy()
+    other[1:] |= block[1:] != block[:-1]
+    earliest = doc[np.flatnonzero(other)][np.cumsum(other) - 1] if len(doc) else doc
+    number = np.cumsum(other_key) - 1
+    blocks = np.bincount(number, weights=other) if len(doc) else np.zeros(0)
+    return key, block, doc, at, doc > earliest, blocks[number] > 1 if len(doc) else np.zeros(0, bool)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,17 +148,46 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFram
         found = [(run.key, ids[a + run.doc]) for a, b in H.runs(at) for run in [_Run(data, at[a : b + 1], length, q)]]
         return (np.concatenate([x[i] for x in found]) if found else np.zeros(0, (np.uint64, np.int64)[i]) for i in (0, 1))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, _, twin = distinct_pairs(*suffixes(batch))
+            single, several = keys[~twin], np.unique(keys[twin])
+            yield _packed({"single": (_Map.bucket(single, buckets), single.astype(np.uint32)), "several": (_Map.bucket(several, buckets), several.astype(np.uint32))}, buckets)
+
+    def gather(table: pa.Table) -> pa.Table:
+        single = np.sort(_joined(table, "single", np.uint32))
+        low = np.union1d(single[1:][single[1:] == single[:-1]], _joined(table, "several", np.uint32))
+        return pa.table({"bucket": table.column("bucket")[:1].cast(pa.int32()), "bits": pa.array([_Map.slice(low, max(64, MAP_BYTES // buckets))], pa.binary())})
+
+    def messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
         for batch in batches:
             ids, (data, at) = batch.column(0).to_numpy(), H.utf8(batch.column(1))
-            keys, owners = _lists(batch.column(2))
-            wanted = _tagged(keys.view(np.uint64), owners)
-            lows = np.searchsorted(owners, np.arange(batch.num_rows + 1))
+            found = [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))]
             for a, b in H.runs(at):
                 run = _Run(data, at[a : b + 1], length, q)
-                keep = np.isin(_tagged(run.key, a + run.doc), wanted[lows[a] : lows[b]])
+                keep = wanted.has(run.key)
                 first, count, doc = run.first[keep], run.count[keep], run.doc[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (run.key[keep].view(np.int64), run.slices(first, count + length - 1).view(np.int64), ids[a + doc], (first - run.at[doc]) * 256 + count)], names=["key", "block", "doc_id", "at"])
+                found.append((run.key[keep], run.slices(first, count + length - 1), ids[a + doc], (first - run.at[doc]) * 256 + count))
+            key, block, doc, place, whole, several = _refine(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            own_doc, own_place = doc[whole], place[whole]
+            key, block, doc, place, several = key[~whole], block[~whole], doc[~whole], place[~whole], several[~whole]
+            noted = np.unique(key[several])
+            order = np.lexsort((place, doc))
+            key, block, doc, place, several = key[order], block[order], doc[order], place[order], several[order]
+            where = _Map.bucket(np.where(several, H.mix(key + block), key), buckets)
+            own_where = np.arange(len(own_doc)) * buckets // max(1, len(own_doc))
+            order = np.lexsort((own_place, own_doc))
+            yield _packed({"key": (where, key), "block": (where, block), "doc_id": (where, doc), "at": (where, place), "lone": (where, ~several), "noted": (_Map.bucket(noted, buckets), noted), "own_doc_id": (own_where, own_doc[order]), "own_at": (own_where, own_place[order])}, buckets)
+
+    def judge(table: pa.Table) -> pa.Table:
+        lone, noted = _joined(table, "lone", np.bool_), _joined(table, "noted", np.uint64)
+        key, block, doc, at = (_joined(table, n, t) for n, t in (("key", np.uint64), ("block", np.uint64), ("doc_id", np.int64), ("at", np.int64)))
+        contested = np.unique(np.concatenate([noted, key[~lone]]))
+        key, block, doc, at, whole, several = _refine(key, block, doc, at)
+        open_ = ~whole & (several | np.isin(key, contested))
+        own = _joined(table, "own_doc_id", np.int64), _joined(table, "own_at", np.int64)
+        return pa.table({"doc_id": np.concatenate([own[0], doc[whole], doc[open_]]), "at": np.concatenate([own[1], at[whole], at[open_]]), "whole": np.arange(len(own[0]) + whole.sum() + open_.sum()) < len(own[0]) + whole.sum()})
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,6 +195,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFram
             firsts, owners = _lists(batch.column(2))
             counts, _ = _lists(batch.column(3))
             lows = np.searchsorted(owners, np.arange(batch.num_rows + 1))
+            found = [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))]
             for a, b in H.runs(at):
                 run = _Run(data, at[a : b + 1], length, q)
                 some = slice(lows[a], lows[b])
@@ -102,21 +203,30 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFram
                 start = np.repeat(firsts[some] + run.at[doc], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 doc = np.repeat(doc, count)
                 later = H.mix(run.buckets[start + q] * H.FACTORS[0] + run.buckets[start + length - q] * H.FACTORS[1]) if 2 * q <= length <= 3 * q else run.slices(start, length)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (run.buckets[start].view(np.int64), later.view(np.int64), ids[a + doc], start - run.at[doc])], names=["bucket", "later", "doc_id", "first"])
+                found.append((run.buckets[start], later, ids[a + doc], start - run.at[doc]))
+            bucket, later, doc, first, gone, _ = _refine(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            own = np.lexsort((first[gone], doc[gone]))
+            own_doc, own_first = doc[gone][own], first[gone][own]
+            order = np.lexsort((first, doc))[~gone[np.lexsort((first, doc))]]
+            hash_, doc, first = H.mix(bucket + later * H.FACTORS[2])[order], doc[order], first[order]
+            check, where = (later[order] >> H.U(32)).astype(np.uint32), (hash_ % H.U(buckets)).astype(np.int64)
+            own_where = np.arange(len(own_doc)) * buckets // max(1, len(own_doc))
+            yield _packed({"hash": (where, hash_), "check": (where, check), "doc_id": (where, doc), "first": (where, first.astype(np.int32)), "own_doc_id": (own_where, own_doc), "own_first": (own_where, own_first.astype(np.int32))}, buckets)
+
+    def repeats(table: pa.Table) -> pa.Table:
+        hash_, check, doc, first = (_joined(table, n, t) for n, t in (("hash", np.uint64), ("check", np.uint32), ("doc_id", np.int64), ("first", np.int32)))
+        _, _, doc, first, gone, _ = _refine(hash_, check, doc, first)
+        return pa.table({"doc_id": np.concatenate([doc[gone], _joined(table, "own_doc_id", np.int64)]), "first": np.concatenate([first[gone], _joined(table, "own_first", np.int32)]).astype(np.int64)})
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shared = materialise(shared_keys(docs, suffixes, partitions(docs, size)))
-    keyed = docs.join(shared.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "doc_id")
-    block = materialise(keyed.select("doc_id", "text", "keys").mapInArrow(blocks, "key long, block long, doc_id long, at long"))
-    earliest = block.groupBy("key", "block").agg(F.min("doc_id").alias("earliest"), F.count("*").alias("blocks"))
-    several = earliest.groupBy("key").agg(F.min("earliest").alias("lo"), F.max("earliest").alias("hi")).where("lo < hi").select("key", F.lit(True).alias("several"))
-    judged = block.join(earliest.join(several, "key", "left").where("blocks > 1 or several").drop("blocks"), ["key", "block"])
-    judged = materialise(judged.where("doc_id > earliest or several").select("doc_id", (F.col("at") % 256).alias("windows"), F.shiftright("at", 8).alias("first"), (F.col("doc_id") > F.col("earliest")).alias("whole")))
-    whole = judged.where("whole").select("doc_id", "first", (F.col("first") + F.col("windows") + (length - 1)).alias("end"))
-    open_ = judged.where("not whole").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "windows"))).alias("open"))
-    window = docs.join(open_, "doc_id").select("doc_id", "text", F.col("open.first").alias("firsts"), F.col("open.windows").alias("counts")).mapInArrow(windows, "bucket long, later long, doc_id long, first long")
-    repeated = window.groupBy("bucket", "later").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("earliest < latest").drop("latest")
-    single = window.join(repeated, ["bucket", "later"]).where("doc_id > earliest").select("doc_id", "first", (F.col("first") + length).alias("end"))
+    buckets = partitions(docs, size)
+    slices = docs.mapInArrow(notes, _NOTES).groupBy("bucket").applyInArrow(gather, "bucket int, bits binary").collect()  # MAP_BYTES at most
+    shared = docs.sparkSession.sparkContext.broadcast(_Map([(r.bucket, bytes(r.bits)) for r in slices], buckets))
+    judged = materialise(docs.mapInArrow(messages, _MESSAGES).groupBy("bucket").applyInArrow(judge, "doc_id long, at long, whole boolean"))
+    whole = judged.where("whole").select("doc_id", F.shiftright("at", 8).alias("first"), (F.shiftright("at", 8) + F.col("at") % 256 + (length - 1)).alias("end"))
+    open_ = judged.where("not whole").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list("at")), lambda at: F.struct(F.shiftright(at, 8).alias("first"), (at % 256).alias("windows"))).alias("open"))
+    window = docs.join(open_, "doc_id").select("doc_id", "text", F.col("open.first").alias("firsts"), F.col("open.windows").alias("counts")).mapInArrow(windows, _WINDOWS)
+    single = window.groupBy("bucket").applyInArrow(repeats, "doc_id long, first long").select("doc_id", "first", (F.col("first") + length).alias("end"))
     return whole.unionByName(single)
 
 
@@ -128,15 +238,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
     neither: none is earlier than the other, and each loses what an earlier doc_id has. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    spans = removed_spans(docs, length, q).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("spans"))
+    spans = removed_spans(docs, length, q).groupBy("doc_id").agg(F.collect_set(F.col("first") * 1024 + F.col("end") - F.col("first")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = H.utf8(batch.column(1))
-            firsts, owners = _lists(batch.column(2))
-            ends, _ = _lists(batch.column(3))
+            spans, owners = _lists(batch.column(2))
+            firsts, ends = spans >> 10, (spans >> 10) + (spans & 1023)
             lows = np.searchsorted(owners, np.arange(batch.num_rows + 1))
-            kept, removed, spans = [], [], []
+            kept, removed, n_spans = [], [], []
             for i in range(batch.num_rows):
                 text, some = data[at[i] : at[i + 1]], slice(lows[i], lows[i + 1])
                 edges = np.zeros(len(text) + 1, np.int32)
@@ -146,9 +256,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
                 gone = np.cumsum(edges[:-1]) > 0
                 kept.append(text[~gone].tobytes())
                 removed.append(int(gone.sum()))
-                spans.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=["doc_id", "n_bytes", "kept", "n_removed", "n_spans"])
+                n_spans.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64())], names=["doc_id", "n_bytes", "kept", "n_removed", "n_spans"])
 
-    none = F.array().cast("array<long>")
-    joined = docs.join(spans, "doc_id", "left").select("doc_id", "text", F.coalesce("spans.first", none).alias("firsts"), F.coalesce("spans.end", none).alias("ends"))
+    joined = docs.join(spans, "doc_id", "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"))
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, kept binary, n_removed long, n_spans long")
