@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from scholarium.llm.decontaminate import contamination
 from scholarium.llm.frames import table
+from scholarium.llm.licenses import TEMPLATES, scan, templates
+from scholarium.llm.mixing import replicate
+from scholarium.llm.revisits import crawl_records, resolve_revisits
 from scholarium.llm.substrings import remove_repeats
 
 
@@ -17,6 +20,21 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"), templates(spark))
+
+
+def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources alike; the rows are the training copies themselves."""
+    return replicate(table(spark, sf_dir, "documents")).select("doc_id", "copy", "source", "lang", "n_chars", "text", "shuffle_key")
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(crawl_records(table(spark, sf_dir, "pages")))
+    lines = F.transform("headers", lambda e: F.concat(e["name"], F.lit(": "), e["value"]))
+    return found.select("record_id", "url_key", F.unix_seconds("at").alias("at"), "outcome", "response_id", F.array_join(lines, "\n").alias("headers"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -24,7 +42,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_license_scan": op2_license_scan,
+    "op3_poisson_mixing": op3_poisson_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op9_warc_revisits": op9_warc_revisits,
 }
 
 _WORDS10 = r"""
@@ -66,4 +87,61 @@ SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed,
 FROM bytes LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": _WORDS10, "op5_suffix_dedup": _REPEATS}
+_LICENSES = r"""
+WITH templates AS (SELECT * FROM (VALUES %s) AS t(license_id, text)),
+grams AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents) WHERE len(w) >= 5)),
+wanted AS (
+    SELECT DISTINCT license_id, array_to_string(w[i : i + 4], ' ') AS g
+    FROM (SELECT license_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT license_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM templates) WHERE len(w) >= 5)),
+sizes AS (SELECT license_id, count(*) AS n_shingles FROM wanted GROUP BY license_id)
+SELECT doc_id, license_id, n_shingles, count(*) AS n_found, count(*) / n_shingles AS containment
+FROM grams JOIN wanted USING (g) JOIN sizes USING (license_id) GROUP BY doc_id, license_id, n_shingles HAVING count(*) / n_shingles >= 0.8
+""" % ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in TEMPLATES)
+
+_MIXING = r"""
+WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, (SELECT sum(n) FROM sizes) * 1.0::DOUBLE / (SELECT count(*)::DOUBLE FROM sizes) / n AS rate FROM sizes),
+pieces AS (SELECT source, greatest(1, ceil(rate / 16.0))::INT AS pieces, rate / greatest(1, ceil(rate / 16.0)) AS mean FROM rates),
+terms AS (SELECT k, sum(CASE WHEN k > 1 THEN ln(k::DOUBLE) ELSE 0 END) OVER (ORDER BY k) AS log_factorial FROM range(0, 101) AS t(k)),
+tables AS (SELECT source, k, sum(exp(k * ln(mean) - mean - log_factorial)) OVER (PARTITION BY source ORDER BY k) AS below FROM pieces, terms),
+pulls AS (
+    SELECT doc_id, source, unnest(range(1, pieces + 1)) AS j FROM documents JOIN pieces USING (source)),
+uniform AS (SELECT doc_id, source, j, ('0x' || substr(md5('17:' || doc_id || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM pulls),
+drawn AS (SELECT doc_id, count(k) AS c FROM uniform LEFT JOIN tables ON uniform.source = tables.source AND below <= u GROUP BY doc_id)
+SELECT doc_id, copy::INT AS copy, source, lang, n_chars, text, md5('17:order:' || doc_id || ':' || copy) AS shuffle_key
+FROM (SELECT d.*, unnest(range(1, c + 1)) AS copy FROM documents d JOIN drawn USING (doc_id))
+"""
+
+_REVISITS = r"""
+WITH pages_ AS (
+    SELECT page_id, md5(coalesce(html, '')) AS digest, 1700000000 + page_id * 60 AS fetched,
+           regexp_replace(lower(regexp_extract(url, '^\s*(?i:https?)://([^/?#\s]+)', 1)), '^www\.|:(80|443)$', '', 'g') AS host,
+           regexp_replace(regexp_extract(url, '^\s*\w+://[^/?#\s]+([^?#\s]*)', 1), '/+$', '') AS path,
+           list_sort(list_filter(string_split(regexp_extract(url, '\?([^#\s]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS query
+    FROM pages),
+keyed AS (SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS url_key FROM pages_),
+responses AS (SELECT page_id AS record_id, url_key, fetched AS seen, '"' || digest || '"' AS etag, strftime(make_timestamp((fetched - 3600) * 1000000), '%Y-%m-%d %H:%M:%S') AS modified FROM keyed),
+checked AS (SELECT *, ('0x' || substr(md5(page_id::VARCHAR), 1, 5))::BIGINT AS h FROM keyed),
+revisits AS (
+    SELECT page_id + 1099511627776 AS record_id, url_key, CASE WHEN h % 13 = 0 THEN fetched - 1800 ELSE fetched + 60 * (1 + h % 5000) END AS seen,
+           CASE WHEN h % 5 = 0 THEN NULL WHEN h % 11 = 0 THEN '"other"' WHEN h % 7 = 0 THEN 'W/"' || digest || '"' ELSE '"' || digest || '"' END AS etag,
+           strftime(make_timestamp((fetched - 3600) * 1000000), '%Y-%m-%d %H:%M:%S') AS modified
+    FROM checked),
+found AS (SELECT r.*, f.record_id AS f_id, f.etag AS f_etag, f.modified AS f_modified FROM revisits r LEFT JOIN LATERAL (
+    SELECT * FROM responses f WHERE f.url_key = r.url_key AND f.seen < r.seen ORDER BY f.seen DESC, f.record_id DESC LIMIT 1) f ON true),
+judged AS (SELECT *, CASE WHEN f_id IS NULL THEN 'missing' WHEN etag IS NOT NULL THEN CASE WHEN replace(etag, 'W/', '') = f_etag THEN 'resolved' ELSE 'mismatch' END
+           WHEN modified = f_modified THEN 'resolved' ELSE 'mismatch' END AS outcome FROM found)
+SELECT record_id, url_key, seen AS at, outcome, CASE WHEN outcome = 'resolved' THEN f_id END AS response_id,
+       CASE WHEN outcome = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: ' || strftime(make_timestamp(seen * 1000000), '%Y-%m-%d %H:%M:%S') || chr(10) || 'etag: ' || coalesce(etag, f_etag) || chr(10) || 'last-modified: ' || modified END AS headers
+FROM judged
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": _WORDS10,
+    "op2_license_scan": _LICENSES,
+    "op3_poisson_mixing": _MIXING,
+    "op5_suffix_dedup": _REPEATS,
+    "op9_warc_revisits": _REVISITS,
+}
