@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scholarium.llm.decontaminate import contamination
 from scholarium.llm.frames import table
+from scholarium.llm.jaccard import similar_documents
 from scholarium.llm.licenses import TEMPLATES, scan, templates
 from scholarium.llm.mixing import replicate
 from scholarium.llm.revisits import crawl_records, resolve_revisits
@@ -29,6 +30,10 @@ def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicate(table(spark, sf_dir, "documents")).select("doc_id", "copy", "source", "lang", "n_chars", "text", "shuffle_key")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), k=4, part=85, whole=100)
+
+
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resolve_revisits(crawl_records(table(spark, sf_dir, "pages")))
     lines = F.transform("headers", lambda e: F.concat(e["name"], F.lit(": "), e["value"]))
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_poisson_mixing": op3_poisson_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_warc_revisits": op9_warc_revisits,
 }
 
