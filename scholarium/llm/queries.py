@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scholarium.llm.decontaminate import contamination
 from scholarium.llm.frames import table
+from scholarium.llm.html_text import extract
 from scholarium.llm.jaccard import similar_documents
 from scholarium.llm.licenses import TEMPLATES, scan, templates
 from scholarium.llm.mixing import replicate
@@ -40,6 +41,10 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "url_key", F.unix_seconds("at").alias("at"), "outcome", "response_id", F.array_join(lines, "\n").alias("headers"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
     "op3_poisson_mixing": op3_poisson_mixing,
+    "op4_html_extraction": op4_html_extraction,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_warc_revisits": op9_warc_revisits,
