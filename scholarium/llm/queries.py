@@ -13,6 +13,7 @@ from scholarium.llm.html_text import extract
 from scholarium.llm.jaccard import similar_documents
 from scholarium.llm.licenses import TEMPLATES, scan, templates
 from scholarium.llm.mixing import replicate
+from scholarium.llm.neighbours import search
 from scholarium.llm.revisits import crawl_records, resolve_revisits
 from scholarium.llm.substrings import remove_repeats
 
@@ -31,6 +32,10 @@ def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicate(table(spark, sf_dir, "documents")).select("doc_id", "copy", "source", "lang", "n_chars", "text", "shuffle_key")
 
 
+def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), k=4, part=85, whole=100)
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_poisson_mixing": op3_poisson_mixing,
     "op4_html_extraction": op4_html_extraction,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_learned_partitions": op6_learned_partitions,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_warc_revisits": op9_warc_revisits,
 }
