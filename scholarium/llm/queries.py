@@ -14,6 +14,8 @@ from scholarium.llm.jaccard import similar_documents
 from scholarium.llm.licenses import TEMPLATES, scan, templates
 from scholarium.llm.mixing import replicate
 from scholarium.llm.neighbours import search
+from scholarium.llm.pii import KINDS, as_text, find_spans
+from scholarium.llm.quality import score_documents
 from scholarium.llm.revisits import crawl_records, resolve_revisits
 from scholarium.llm.substrings import remove_repeats
 
@@ -36,6 +38,20 @@ def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _of_kind(kind: int):
+    return lambda span: span["kind"] == kind
+
+
+def op10_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(as_text("base"), 256).alias("base_sha256"), as_text("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), k=4, part=85, whole=100)
 
@@ -62,8 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extraction": op4_html_extraction,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_learned_partitions": op6_learned_partitions,
+    "op7_quality_rules": op7_quality_rules,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_warc_revisits": op9_warc_revisits,
+    "op10_pii_boosting": op10_pii_boosting,
 }
 
 _WORDS10 = r"""
