@@ -86,7 +86,7 @@ def scan(docs: DataFrame, licenses: DataFrame, containment: float = CONTAINMENT)
     hits = _bands(windows, "doc_id", "_window", values if n <= LISTED else None)
     candidates = materialise(hits.join(small(wanted, n), ["band", "least"]).select("doc_id", "license_id").distinct())
     per_doc = candidates.groupBy("doc_id").agg(F.collect_set("license_id").alias("_ids"))
-    near = docs.join(small(per_doc, candidates.count()), "doc_id").select("doc_id", shingles(words(F.col("text"))).alias("_has"), F.explode("_ids").alias("license_id"))
+    near = docs.join(small(per_doc, candidates.count()), "doc_id").select("doc_id", words(F.col("text")).alias("_words"), "_ids").select("doc_id", shingles(F.col("_words")).alias("_has"), F.explode("_ids").alias("license_id"))
     of = known.select("license_id", shingles(F.col("_words")).alias("_of"))
     found = near.join(small(of, n), "license_id").select("doc_id", "license_id", F.size("_of").cast("long").alias("n_shingles"), F.size(F.array_intersect("_has", "_of")).cast("long").alias("n_found"))
     scored = found.where("n_shingles > 0").withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= containment)
