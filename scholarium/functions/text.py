@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ _W = r"[\p{L}\p{N}_]"
 BOUNDARY = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, also where f uses it inside a lambda, which would compute it for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -78,7 +84,7 @@ def restore_abstract(index: Column, most: int = 1500) -> Column:
     """Text from a map of words to their positions; of several words at one position the last entry's stays."""
     places = F.flatten(F.transform(F.map_entries(index), lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))))
     ordered = F.array_sort(F.coalesce(places, F.array().cast("array<struct<p:int,i:int,w:string>>")))
-    last = F.filter(ordered, lambda x, n: (n == F.size(ordered) - 1) | (F.get(ordered, n + 1)["p"] != x["p"]))
+    last = let(ordered, lambda o: F.filter(o, lambda x, n: (n == F.size(o) - 1) | (F.get(o, n + 1)["p"] != x["p"])))
     return F.substring(F.array_join(F.transform(last, lambda x: x["w"]), " "), 1, most)
 
 
@@ -144,8 +150,8 @@ def report_metrics(page: Column) -> dict[str, Column]:
 
 
 def four_grams(c: Column) -> Column:
-    last = F.length(c) - 3
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(c, i, F.lit(4))))).otherwise(F.array().cast("array<string>"))
+    pieces = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 3), lambda i: F.substring(t, i, F.lit(4))))
+    return let(c, lambda t: F.when(F.length(t) >= 4, pieces(t)).otherwise(F.array().cast("array<string>")))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -394,7 +394,7 @@ def query_lines(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey AS id, 'line' AS chart_type, l_returnflag AS series, (row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) - 1)::INT AS n, l_linenumber::DOUBLE AS x, l_quantity::DOUBLE AS y, NULL AS error FROM lineitem
+SELECT l_orderkey AS id, 'line' AS chart_type, l_returnflag AS series, (row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_quantity) - 1)::INT AS n, l_linenumber::DOUBLE AS x, l_quantity::DOUBLE AS y, NULL AS error FROM lineitem
 """)
 def chart_points(spark, sf_dir):
     series = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda p: F.array(p["l_linenumber"].cast("double"), p["l_quantity"].cast("double"))).alias("points"))
