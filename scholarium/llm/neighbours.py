@@ -145,7 +145,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMPL
     points = materialise(ids.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).withColumn("point", F.element_at("ids", 1)))
     n = points.count()
     some = points.orderBy(F.xxhash64("point"), "point").limit(sample).select("v").toPandas()
-    router = rows.sparkSession.sparkContext.broadcast(Router(np.array(some["v"].tolist(), np.float64).reshape(len(some), -1), n, k, wished))
+    router = rows.sparkSession.sparkContext.broadcast(Router(np.array(some["v"].tolist(), np.float64).reshape(len(some), common["size"] if common else 1), n, k, wished))
 
     def index(batches):
         for batch in batches:
