@@ -157,7 +157,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFram
     def gather(table: pa.Table) -> pa.Table:
         single = np.sort(_joined(table, "single", np.uint32))
         low = np.union1d(single[1:][single[1:] == single[:-1]], _joined(table, "several", np.uint32))
-        return pa.table({"bucket": table.column("bucket")[:1].cast(pa.int32()), "bits": pa.array([_Map.slice(low, max(64, MAP_BYTES // buckets))], pa.binary())})
+        return pa.table({"bucket": table.column("bucket")[:1].cast(pa.int32()), "bits": pa.array([_Map.slice(low, max(8, MAP_BYTES // buckets))], pa.binary())})
 
     def messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
