@@ -32,12 +32,18 @@ def dedupe_best(papers: DataFrame) -> DataFrame:
 
     A grouped max_by with partial aggregation, so a title that many records share is reduced before the shuffle.
     """
+    kept = best_of_titles(papers, -F.col("pos"))
+    return kept.select(*[(-F.col("_place")).alias("pos") if c == "pos" else F.col(f"_row.{c}").alias(c) for c in papers.columns])
+
+
+def best_of_titles(papers: DataFrame, place: Column) -> DataFrame:
+    """(_place, _row): the best record of each title as a struct, and the greatest place of the title's records. A record
+    with a greater place comes earlier; of equals it wins."""
     key = tx.dedupe_key(F.col("title"))
     row = F.struct(*[F.col(c) for c in papers.columns])
-    best = F.struct(scores.quality(F.col("venue"), F.col("citations"), F.col("doi")).alias("q"), (-F.col("pos")).alias("p"))
-    keyed = papers.select(F.when(key != "", key).otherwise(F.concat(F.lit("#"), F.col("pos"))).alias("_key"), F.col("pos").alias("_pos"), row.alias("_row"), best.alias("_best"))
-    kept = keyed.groupBy("_key").agg(F.min("_pos").alias("_first"), F.max_by("_row", "_best").alias("_row"))
-    return kept.select(*[F.col("_first").alias("pos") if c == "pos" else F.col(f"_row.{c}").alias(c) for c in papers.columns])
+    best = F.struct(scores.quality(F.col("venue"), F.col("citations"), F.col("doi")).alias("q"), place.alias("p"))
+    keyed = papers.select(F.when(key != "", key).otherwise(F.concat(F.lit("#"), F.col("pos"))).alias("_key"), place.alias("_place"), row.alias("_row"), best.alias("_best"))
+    return keyed.groupBy("_key").agg(F.max("_place").alias("_place"), F.max_by("_row", "_best").alias("_row"))
 
 
 def first_wins(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholarium.operators.papers import best_of_titles, in_years, without_supplements
+
 K1, B = 1.2, 0.75
 SORTS = ("relevance", "citations")
 
@@ -32,9 +34,12 @@ def _times(column: str, word: str) -> Column:
     return F.size(F.filter(column, lambda t: t == word))
 
 
-def search_papers(papers: DataFrame, query: str, limit: int = 25, prefer: str = "relevance") -> DataFrame:
-    """Papers (pos, title, abstract, citations ...) by relevance, by citations, or with influence ('impact') or freshness
-    ('fresh') boosted; `limit` is held to 1..200. The boosts are this library's own: log of citations, and a year's decay."""
+def search_papers(papers: DataFrame, query: str, limit: int = 25, prefer: str = "relevance", first: int | None = None, last: int | None = None, keep_supplements: bool = False) -> DataFrame:
+    """Papers (pos, title, abstract, doi, venue, citations, year ...) of the years first..last that share a term with the
+    query, by relevance, by citations, or with influence ('impact') or freshness ('fresh') boosted. Supplements go, of one
+    title's records the best stays at the place of the first, then `limit` (held to 1..200) cuts. The boosts are this
+    library's own: log of citations, and a year's decay."""
+    papers = in_years(papers, first, last)
     scored = papers.join(bm25(papers.withColumn("_t", F.concat_ws(" ", "title", "abstract")), query, "_t", "pos"), "pos")
     if prefer == "impact":
         scored = scored.withColumn("score", F.col("score") * (1 + F.log1p(F.coalesce("citations", F.lit(0)).cast("double")) / 10))
@@ -43,8 +48,9 @@ def search_papers(papers: DataFrame, query: str, limit: int = 25, prefer: str =
         scored = scored.join(F.broadcast(newest)).withColumn("score", F.col("score") * F.exp(-(F.col("_newest") - F.coalesce("year", F.col("_newest") - 30)) / 15.0)).drop("_newest")
     elif prefer not in SORTS:
         raise ValueError(f"prefer {prefer!r} is not relevance, citations, impact or fresh")
-    order = [F.desc("citations"), F.desc("score")] if prefer == "citations" else [F.desc("score")]
-    return scored.orderBy(*order, "pos").limit(max(1, min(200, limit)))
+    place = F.struct(*(["citations", "score"] if prefer == "citations" else ["score"]), (-F.col("pos")).alias("p"))
+    best = best_of_titles(without_supplements(scored, keep_supplements), place)
+    return best.orderBy(F.desc("_place")).limit(max(1, min(200, limit))).select("_row.*")
 
 
 def ask_evidence(chunks: DataFrame, question: str, top_k: int = 10) -> DataFrame:

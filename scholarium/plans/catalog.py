@@ -265,6 +265,35 @@ def abstract_restore(spark, sf_dir):
     return index.select("doc_id", tx.restore_abstract(F.col("index")).alias("abstract"))
 
 
+@query(r"SELECT doc_id, regexp_replace(lang || '. ' || substr(text, 1, 1500), '^\s+|\s+$', '', 'g') AS input FROM documents")
+def vector_input(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", tx.vector_text(F.col("lang"), F.col("text")).alias("input"))
+
+
+@query()
+def tfidf_vectors(spark, sf_dir):
+    """How many dimensions each document's vector uses, and its length (1, or 0 without words)."""
+    rows = search.vectorise(_read(spark, sf_dir, "documents").select("doc_id", "text"), "text", 1024)
+    return rows.select("doc_id", F.size(F.filter("vec", lambda x: x != 0)).alias("n_dims"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x), 3).alias("length"))
+
+
+@query(r"SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS answer FROM conversations")
+def answer_text(spark, sf_dir):
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.drop_thoughts(F.concat(F.lit("<think>as a "), "role", F.lit("\nI would</think>\n"), "text")).alias("answer"))
+
+
+@query("SELECT conv_id AS doc, turn::INT AS page_idx, 1.0::DOUBLE AS x0, 4.0::DOUBLE AS y1, replace(text, chr(10), '') AS text FROM conversations")
+def layout_spans(spark, sf_dir):
+    """Turns as blocks; odd ones hold their lines in an inner block."""
+    lines = F.transform(F.split("text", "\n"), lambda t: F.struct(F.array(F.struct(t.alias("content"))).alias("spans")))
+    box, no_lines = F.array(*[F.lit(float(i)) for i in range(1, 5)]), F.array().cast("array<struct<spans:array<struct<content:string>>>>")
+    inner = F.array(F.struct(F.lit("text").alias("type"), box.alias("bbox"), lines.alias("lines")))
+    odd = F.col("turn") % 2 == 1
+    block = F.struct(F.lit("text").alias("type"), box.alias("bbox"), F.when(odd, no_lines).otherwise(lines).alias("lines"), F.when(odd, inner).alias("blocks"))
+    blocks = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("page_idx"), F.lit(600.0).alias("page_w"), F.lit(1000.0).alias("page_h"), F.lit(0).alias("ord"), block.alias("block"))
+    return layout.flat_blocks(blocks).select("doc", "page_idx", "x0", "y1", "text")
+
+
 @query("SELECT doc_id, lang = 'de' AS chinese FROM documents")
 def cjk_flag(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", tx.looks_chinese(F.when(F.col("lang") == "de", F.concat("text", F.lit("硼"))).otherwise(F.col("text"))).alias("chinese"))
@@ -315,27 +344,46 @@ def reason_counts(spark, sf_dir):
     return reviews.reason_counts(_reviews(spark, sf_dir))
 
 
+@query("SELECT doc_id AS key, substr(text, 1, 120) AS title, substr(text, 1, 500) AS note FROM labels JOIN documents USING (doc_id) WHERE toxic = 1")
+def review_quarantine(spark, sf_dir):
+    """Reviews whose verdict is neither good nor bad."""
+    rows = _read(spark, sf_dir, "labels").join(_read(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("key"), F.when(F.col("toxic") == 1, "maybe").when(F.col("quality") == 1, "good").otherwise("bad").alias("verdict"), F.col("text").alias("title"), F.col("text").alias("note"))
+    return reviews.shortened(reviews.split_by_verdict(rows)[1]).select("key", "title", "note")
+
+
 @query("SELECT user_id AS key, event_id AS pos, event_type AS verdict FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE value > 400)")
 def review_latest(spark, sf_dir):
     rows = _read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("pos"), F.col("event_type").alias("verdict"), F.col("ts").alias("rated_at"), "value")
     return reviews.latest(rows, rows.where("value > 400")).select("key", "pos", "verdict")
 
 
-@query("""
+_FIGURES = """
 WITH b AS (SELECT l_orderkey AS doc, l_linenumber AS ord, 10.0::DOUBLE AS x0, l_linenumber * 120.0 + l_quantity AS y0, 10 + l_quantity * 8.0 AS x1, l_linenumber * 120.0 + l_quantity + 80.0 AS y1, 'Figure ' || l_linenumber AS cap, l_returnflag <> 'N' OR l_linenumber % 2 = 0 AS vis FROM lineitem),
 v AS (SELECT *, y0 - lag(y1) OVER (PARTITION BY doc ORDER BY y0, ord) > 150.0 AS apart FROM b WHERE vis AND (x1 - x0) * (y1 - y0) >= 2500),
 g AS (SELECT *, sum(coalesce(apart, false)::INT) OVER (PARTITION BY doc ORDER BY y0, ord ROWS UNBOUNDED PRECEDING) AS gi FROM v),
 m AS (SELECT doc, gi, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM g GROUP BY doc, gi),
 c AS (SELECT doc, arg_min(cap, ord) AS cap FROM b WHERE NOT vis GROUP BY doc)
-SELECT doc, 0 AS page_idx, x0, y0, x1, y1, CASE WHEN gi = 0 THEN coalesce(cap, '') ELSE '' END AS caption, row_number() OVER (PARTITION BY doc ORDER BY gi)::INT AS num FROM m LEFT JOIN c USING (doc) WHERE (x1 - x0) * (y1 - y0) >= 8000
+"""
+
+
+@query(_FIGURES + """SELECT doc, 0 AS page_idx, x0, y0, x1, y1, CASE WHEN gi = 0 THEN coalesce(cap, '') ELSE '' END AS caption, row_number() OVER (PARTITION BY doc ORDER BY gi)::INT AS num FROM m LEFT JOIN c USING (doc) WHERE (x1 - x0) * (y1 - y0) >= 8000
 """)
 def figure_boxes(spark, sf_dir):
+    return layout.figure_boxes(_blocks(spark, sf_dir))
+
+
+@query(_FIGURES + "SELECT doc, 0 AS page_idx, greatest(0.0, x0 * 0.5 - 3) AS x0, greatest(0.0, y0 * 0.5 - 3) AS y0, least(300.0, x1 * 0.5 + 3) AS x1, least(500.0, y1 * 0.5 + 3) AS y1, row_number() OVER (PARTITION BY doc ORDER BY gi)::INT AS num FROM m WHERE (x1 - x0) * (y1 - y0) >= 8000")
+def figure_rectangles(spark, sf_dir):
+    pages = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.lit(0).alias("page_idx"), F.lit(300.0).alias("pdf_w"), F.lit(500.0).alias("pdf_h"))
+    return layout.figure_boxes(_blocks(spark, sf_dir), pages).drop("caption")
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     y0, seen = F.col("l_linenumber") * 120.0 + F.col("l_quantity"), (F.col("l_returnflag") != "N") | (F.col("l_linenumber") % 2 == 0)
-    blocks = _read(spark, sf_dir, "lineitem").select(
+    return _read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("doc"), F.lit(0).alias("page_idx"), F.lit(600.0).alias("page_w"), F.lit(1000.0).alias("page_h"), F.col("l_linenumber").alias("ord"), F.when(seen, "image").otherwise("text").alias("type"), F.lit(10.0).alias("x0"), y0.alias("y0"),
         (F.col("l_quantity") * 8.0 + 10).alias("x1"), (y0 + 80.0).alias("y1"), F.when(seen, "").otherwise(F.concat(F.lit("Figure "), F.col("l_linenumber").cast("string"))).alias("text"),
     )
-    return layout.figure_boxes(blocks)
 
 
 @query("""
@@ -364,6 +412,32 @@ def search_bm25(spark, sf_dir):
     return search.bm25(_read(spark, sf_dir, "documents"), _TEXT_QUERY).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(r"""
+WITH p AS (SELECT doc_id AS pos, text AS title, CASE lang WHEN 'fr' THEN 'Figshare' WHEN 'de' THEN '' ELSE lang END AS venue, n_chars % 97 AS citations, source AS doi, 1990 + doc_id % 36 AS year FROM documents),
+y AS (SELECT *, list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: w <> '') AS t FROM p WHERE year BETWEEN 1995 AND 2020),
+f AS (SELECT *, len(t) AS l, len(list_filter(t, lambda x: x = 'inor')) AS tf0, len(list_filter(t, lambda x: x = 'that')) AS tf1, len(list_filter(t, lambda x: x = 'tion')) AS tf2 FROM y),
+s AS (SELECT count(*) AS n, avg(l) AS mean, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1, count(*) FILTER (tf2 > 0) AS df2 FROM f),
+b AS (SELECT pos, title, venue, citations, doi, year, """ + " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * l / mean))" for i in range(3)) + r""" AS score FROM f, s),
+k AS (SELECT *, substr(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 1, 120) AS t FROM b WHERE score > 0 AND NOT (venue = 'Figshare' AND citations = 0)),
+r AS (SELECT *, CASE WHEN t = '' THEN '#' || pos ELSE t END AS key, row_number() OVER (ORDER BY citations DESC, score DESC, pos) AS place FROM k),
+g AS (SELECT *, min(place) OVER (PARTITION BY key) AS first_place, row_number() OVER (PARTITION BY key ORDER BY (venue NOT IN ('', 'Figshare')) DESC, citations DESC, length(doi), place) AS n FROM r)
+SELECT pos, citations, year FROM (SELECT * FROM g WHERE n = 1 ORDER BY first_place LIMIT 50)
+""")
+def search_papers(spark, sf_dir):
+    """The report of a search: the 50 most cited papers of some years."""
+    rows = _papers(_read(spark, sf_dir, "documents")).withColumns({"abstract": F.lit(None).cast("string"), "year": F.lit(1990) + F.col("pos") % 36})
+    return search.search_papers(rows, _TEXT_QUERY, 50, "citations", 1995, 2020).select("pos", "citations", "year")
+
+
+@query(r"""
+WITH p AS (SELECT doc_id AS pos, lang = 'fr' AND n_chars % 97 = 0 AS supplement, substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 120) AS t FROM documents)
+SELECT count(*) AS total, count(DISTINCT CASE WHEN t = '' THEN '#' || pos ELSE t END) FILTER (NOT supplement) AS returned, total - returned AS filtered FROM p
+""")
+def search_totals(spark, sf_dir):
+    found = _papers(_read(spark, sf_dir, "documents"))
+    return papers.search_totals(found, papers.dedupe_best(papers.without_supplements(found)))
+
+
 @query()
 def evidence_topk(spark, sf_dir):
     return search.ask_evidence(docs_.chunk_rows(_articles(spark, sf_dir)), _TEXT_QUERY, 10)
