@@ -4,7 +4,8 @@ A page is one row, so Spark spreads the pages and each is read by a small tree b
 characters per tag, scaled down by the share of link characters and link tags; a node's sum is that of its children's
 densities. The node with the largest sum is the core of the article; nodes outside it that are at least as dense as the
 least dense node on the core's path to <body> add their own densest subtrees. What is never article text (menus, forms,
-adverts, comments ...) is cut out of the tree first.
+adverts, comments ...) is cut out of the tree first. Forms, and elements that only a class, an id or a role marks as such,
+are cut unless they wrap the article: then the density decides within them.
 """
 
 from __future__ import annotations
@@ -31,20 +32,41 @@ _CLOSES_P = _BLOCK - frozenset("body html head td th tr tbody thead tfoot captio
 _SCOPE = frozenset("html body table td th caption article section div main aside nav header footer form ul ol blockquote details fieldset button".split())
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 _LIST_SCOPE = frozenset("ul ol dl table select menu html body".split())
-_NEVER = frozenset("head nav header footer aside form script style noscript template iframe object canvas svg button select textarea dialog menu search".split())
+_NEVER = frozenset("head nav header footer aside script style noscript template iframe object canvas svg button select textarea dialog menu search".split())
 # Words in class, id or role that tell what a part of a page is for.
 _SIGNS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus feedback footer gdpr "
-    "legal login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip "
-    "social sponsor sponsored subscribe subscription taboola teaser toolbar tooltip widget widgets".split()
+    "ad ads adbox adslot advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies copyright disqus footer gdpr "
+    "login masthead menu menubar modal nav navbar navigation newsletter pager pagination paywall popup promo promoted reply replies respond search share sharing sidebar signup skip "
+    "social sponsor sponsored subscribe subscription taboola teaser toolbar tooltip".split()
 )
+# Such words that name sections of articles, or the blocks of page builders, as well: signs only before _PLURALS or _HOLDERS.
+_TOPICS = frozenset("consent disclaimer discussion feedback legal notice notices promotion recommended related".split())
+_PLURALS = frozenset("articles banner box items links news popup posts products stories topics videos".split())
+_BUILT = frozenset("widget widgets".split())
+# Words that may follow a sign, as in comment-list; words before it that make the name one of a layout, as in has-sidebar.
+_HOLDERS = frozenset("area author bar block body bottom box button buttons column container content date form frame group header holder icon icons inner item items left link links list meta module outer panel post posts right row section slot text thread title top unit wrap wrapper zone".split())
+_LAYOUT = frozenset("article content does has hide is layout main no non not show with without".split())
+
+
+def _names(name: str) -> bool:
+    """Whether one class, id or role, in lower case, names a part that is never article text."""
+    words = [w for w in re.split(r"[^a-z]+", name) if len(w) > 1]
+    tail = len(words)
+    while tail and words[tail - 1] in _HOLDERS:
+        tail -= 1
+    if tail and words[tail - 1] in _SIGNS:
+        return _LAYOUT.isdisjoint(words[: tail - 1])
+    if words and words[0] in _BUILT:
+        return tail == 1
+    return len(words) > 1 and words[-1] in _PLURALS and words[-2] in _TOPICS and _LAYOUT.isdisjoint(words[:-2])
 
 
 class _Page:
-    """The tree: for each node its tag, parent and whether it is cut; pieces of text and block edges in page order."""
+    """The tree: for each node its tag, parent and whether it is cut; pieces of text and block edges in page order. Marked
+    are nodes whose cut is settled when the whole tree is known."""
 
     def __init__(self, text: str):
-        self.tag, self.parent, self.cut = ["#root"], [-1], [False]
+        self.tag, self.parent, self.cut, self.marked = ["#root"], [-1], [False], [False]
         self.pieces: list[tuple[int, str | None]] = []
         stack, at = [0], 0
         length = len(text)
@@ -73,11 +95,13 @@ class _Page:
                     stack.append(node)
             elif m["end"]:
                 self._close(stack, m["end"].lower())
+        if True in self.marked:
+            self._settle()
 
     def _add(self, tag: str, parent: int, attrs: str) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
-        cut = tag in _NEVER
+        cut, marked = tag in _NEVER, tag == "form"
         if tag == "header" and self._inside(parent, ("article", "main")):
             cut = False  # of the article, with its title
         if attrs and not cut and tag not in ("html", "body", "main"):
@@ -85,11 +109,38 @@ class _Page:
                 name, value = name.lower(), "".join(values).lower()
                 if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                     cut = True
-                elif name in ("class", "id", "role") and not _SIGNS.isdisjoint(re.split(r"[^a-z]+", value)):
-                    cut = True
+                elif name in ("class", "id", "role") and any(map(_names, value.split())):
+                    marked = True
         self.cut.append(cut or self.cut[parent])
+        self.marked.append(marked and not self.cut[-1])
         return len(self.tag) - 1
 
+    def _settle(self) -> None:
+        """Cuts the marked nodes, but not one that wraps the article: one that holds the page's <article> or <main>, or,
+        where the page has none outside marked nodes, blocks (a form: text) with most of the characters that are not links."""
+        n = len(self.tag)
+        plain, blocks, holds = [0] * n, [False] * n, [False] * n
+        in_link, under = [False] * n, list(self.marked)
+        for i in range(1, n):
+            p = self.parent[i]
+            in_link[i], under[i] = self.tag[i] == "a" or in_link[p], under[i] or under[p]
+        for node, text in self.pieces:
+            if text is not None and not self.cut[node] and not in_link[node]:
+                plain[node] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            plain[self.parent[i]] += plain[i]
+        total = plain[next((i for i in range(n) if self.tag[i] == "body"), 0)]
+        free = any(self.tag[i] in ("article", "main") and not under[i] and plain[i] for i in range(n))
+        for i in range(n - 1, 0, -1):
+            p, most = self.parent[i], 2 * plain[i] > total
+            if self.marked[i] and (most or not free if holds[i] else most and (blocks[i] or self.tag[i] == "form") and not free):
+                self.marked[i] = False
+            if plain[i] and not self.marked[i]:
+                blocks[p] = blocks[p] or blocks[i] or self.tag[i] in _BLOCK
+                holds[p] = holds[p] or holds[i] or self.tag[i] in ("article", "main")
+        for i in range(1, n):
+            self.cut[i] = self.cut[i] or self.marked[i] or self.cut[self.parent[i]]
+
     def _inside(self, node: int, tags: tuple[str, ...]) -> bool:
         while node > 0:
             if self.tag[node] in tags:

@@ -153,6 +153,19 @@ def test_main_text(spark):
     assert sorted((r.page_id or 0, len(r.text)) for r in extract(rows).collect()) == [(0, 1), (1, len(main_text(page))), (1, len(main_text(page))), (2, 0)]
 
 
+def test_main_text_in_marked_wrappers():
+    body, text = "<p>First paragraph of the article with enough words.</p><p>Second one, of the same kind.</p>", "First paragraph of the article with enough words.\nSecond one, of the same kind."
+    page = lambda inner: f"<html><body><nav><a href=1>a</a></nav>{inner}</body></html>"
+    for open_, close in [
+        ("<div class='has-sidebar'>", "</div>"), ("<div id=page class='no-sidebar'>", "</div>"), ("<article class='post comments-open'>", "</article>"), ("<div class=legal>", "</div>"),
+        ("<form action=x><div>", "</div></form>"), ("<form><article>", "</article></form>"), ("<div class=widget><main>", "</main></div>"), ("<form><div class=sidebar><p>side</p></div><div class='builder-widget'>", "</div></form>"),
+    ]:
+        assert main_text(page(open_ + body + close)) == text, open_
+    assert main_text(page(f"<div id=content>{body}<section id='discussion'>{body}</section><section id='related-work'>{body}</section></div>")) == "\n".join([text] * 3)
+    for other in ("<div class='comment-list'><p>reader</p></div>", "<section class=comments><article>a reader's</article></section>", "<form><p>form</p></form>", "<div class='related-posts'><p>more</p></div>", "<div id='ad-300x250'><p>buy</p></div>"):
+        assert main_text(page(f"<article>{body}{other}</article>")) == main_text(page(f"<div>{body}</div>{other}")) == text, other
+
+
 KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", "[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
