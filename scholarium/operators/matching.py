@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,19 +31,16 @@ def exact_match(papers: DataFrame, library: DataFrame) -> DataFrame:
 def nearest(candidates: DataFrame, collection: DataFrame, n: int, most_broadcast: int = 20_000) -> DataFrame:
     """(pos, rank, id, sim): the n nearest of collection (id, vec) for each candidate (pos, vec), by cosine.
 
-    The candidates, a stated query set, are broadcast if a count shows that they are few; then the collection is scanned
-    once and each task hands on n rows a candidate. Otherwise vectors of length 1 are hashed (near ones share a bucket)
-    and only bucket mates are compared exactly.
+    Every pair is compared. The candidates, a stated query set, are broadcast if a count shows that they are few; then the
+    collection is scanned once. More of them are dealt in blocks of about most_broadcast, and a task compares a block with
+    a partition of the collection, so that none holds more than a block. Each task hands on n rows a candidate.
     """
-    asked = candidates.select("pos", F.col("vec").alias("_q"))
-    if asked.count() <= most_broadcast:
-        pairs = collection.select("id", "vec").join(F.broadcast(asked))
+    asked, rows = candidates.select("pos", F.col("vec").alias("_q")), collection.select("id", "vec")
+    count = asked.count()
+    if count <= most_broadcast:
+        pairs = rows.join(F.broadcast(asked))
     else:
-        unit = lambda c: array_to_vector(F.transform(c, lambda x: x / F.greatest(scores.norm(c), F.lit(1e-30))))
-        lsh = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=0.5, numHashTables=8, seed=3)
-        left, right = asked.withColumn("u", unit(F.col("_q"))), collection.select("id", "vec").withColumn("u", unit(F.col("vec")))
-        model = lsh.fit(right)
-        pairs = model.approxSimilarityJoin(left, right, 1.42).select("datasetA.pos", "datasetA._q", "datasetB.id", "datasetB.vec")
+        pairs = rows.join(asked.repartition(-(-count // max(1, most_broadcast))).hint("shuffle_replicate_nl"))
     scored = pairs.select("pos", "id", scores.cosine(F.col("_q"), F.col("vec")).alias("sim"))
     ordered = Window.partitionBy("pos").orderBy(F.desc("sim"), "id")
     return scored.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= n)

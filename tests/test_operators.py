@@ -36,6 +36,18 @@ def test_nearest_by_hashing_finds_what_the_scan_finds(spark):
     assert sum(scan[p] == hashed.get(p) for p in scan) >= 18
 
 
+def test_nearest_in_blocks_is_exact(spark):
+    """Also where all of the n nearest, or some, point away from the candidate."""
+    vectors = spark.range(60).select("id", F.when(F.col("id") < 40, F.array(F.lit(1.0), F.col("id") / 40, F.lit(0.1))).otherwise(F.array(F.lit(-1.0), F.col("id") / 90, F.lit(0.0))).alias("vec"))
+    asked = vectors.where("id % 3 = 0").select(F.col("id").alias("pos"), "vec")
+    rows = lambda most: sorted(tuple(r) for r in matching.nearest(asked, vectors, 45, most).select("pos", "rank", "id", "sim").collect())
+    scan = rows(20_000)
+    assert len(scan) == 20 * 45 and min(r[3] for r in scan) < 0
+    assert rows(7) == rows(0) == scan
+    plan = matching.nearest(asked, vectors, 3, 7)._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "WindowGroupLimit" in plan
+
+
 def test_snowball(spark):
     works = spark.createDataFrame([(i, f"10.1/{i}", f"t{i}", i) for i in range(1, 6)], "id long, doi string, title string, citations long")
     edges = spark.createDataFrame([(1, 2, 0), (1, 3, 1), (4, 1, 0), (5, 1, 0), (5, 2, 1)], "citing long, cited long, ord int")
