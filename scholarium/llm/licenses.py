@@ -1,8 +1,8 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies.
 
-Built-in expressions only. A window is WINDOW shingles of K words, a new one begins every STRIDE shingles, so every
-shingle is in two windows. A band is one minimum: a template whose single shingle is one of a window's four shares a
-band of it with probability 1/4, so of the 24 bands of its two windows all miss once in a million; a window that is
+Built-in expressions only. A window is WINDOW shingles of K words, a new one begins every STRIDE shingles, and the first
+STRIDE shingles of a text are a window of their own, so every shingle is in two windows. A band is one minimum: a template whose single shingle is one of a window's four shares a
+band of it with probability 1/4 at least, so of the 24 bands of its two windows all miss once in a million; a window that is
 wholly the template's always hits. Templates are a list of their own, whose size is checked before it is broadcast.
 """
 
@@ -46,6 +46,11 @@ def _spread(words_: Column, step: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.slice(words_, i + 1, F.lit(WINDOW + K - 1))))
 
 
+def _text_windows(words_: Column) -> Column:
+    """The windows of a text: one every STRIDE shingles, before them one as if begun at -STRIDE, which its start cuts short."""
+    return F.concat(F.array(F.slice(words_, 1, STRIDE + K - 1)), _spread(words_, STRIDE))
+
+
 def _bands(windows: DataFrame, key: str, words_: str, wanted: dict[int, list[int]] | None = None) -> DataFrame:
     """(key, band, least): for each hash function the least hash of the window's shingles, of windows with a wanted one.
 
@@ -82,7 +87,7 @@ def scan(docs: DataFrame, licenses: DataFrame, containment: float = CONTAINMENT)
     n = wanted.count()
     for row in wanted.select("band", "least").distinct().collect() if n <= LISTED else []:
         values.setdefault(row.band, []).append(row.least)
-    windows = docs.select("doc_id", words(F.col("text")).alias("_words")).select("doc_id", F.explode(_spread(F.col("_words"), STRIDE)).alias("_window"))
+    windows = docs.select("doc_id", words(F.col("text")).alias("_words")).select("doc_id", F.explode(_text_windows(F.col("_words"))).alias("_window"))
     hits = _bands(windows, "doc_id", "_window", values if n <= LISTED else None)
     candidates = materialise(hits.join(small(wanted, n), ["band", "least"]).select("doc_id", "license_id").distinct())
     per_doc = candidates.groupBy("doc_id").agg(F.collect_set("license_id").alias("_ids"))
