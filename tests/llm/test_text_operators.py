@@ -202,3 +202,11 @@ def test_personal_data(spark):
     assert spark.range(1).select(redact(F.lit("éabcdefgh!z"), spans).alias("x")).first().x == "é[EMAIL]fg[IP]!z"
     assert spark.range(1).select(redact(F.lit("abc"), F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("x")).first().x == "abc"
     assert Counter(len(r.base) > 0 for r in got.values())[True] > 20
+
+
+def test_loose_forms_in_capitals_are_proposed():
+    import pyarrow as pa
+
+    texts = ["WRITE TO JOHN (AT) EXAMPLE DOT COM", "write to john (at) example dot com", "John At Example Dot Com", "NOTHING HERE"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    assert [len(x) for (out,) in [list(pii._propose(iter([batch])))] for x in out.column(2).to_pylist()] == [1, 1, 1, 0]
