@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when a count has shown that it has at most this many (narrow) rows.
 BROADCAST_ROWS = 200_000
+_written: ContextVar[list[str] | None] = ContextVar("_written", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,21 +20,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint folder, or one of our own where none is set (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir. Only a local session, which is one process on one
+    machine, may do without and gets a temporary one; on a cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
+    """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors. An operator's
+    result reads such tables when its rows are asked for, so they stay; `settled` removes them."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written.get() is not None:
+        _written.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of make() as a table, after which all tables that it wrote on the way are removed."""
+    token = _written.set([])
+    try:
+        df = make()
+        paths = list(_written.get() or [])
+    finally:
+        _written.reset(token)
+    out = materialise(df)
+    spark = df.sparkSession
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return out
+
+
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows, else as it is (Spark then shuffles both sides)."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df

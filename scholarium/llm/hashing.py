@@ -1,11 +1,14 @@
 """Fingerprints of words, shingles and byte strings, computed over whole Arrow buffers with numpy.
 
-A polynomial hash modulo 2**64 with a random value for each byte: with prefix sums, the fingerprint of any slice is one
-subtraction and one multiplication, so whole buffers are hashed without a Python loop over words.
+A string is read in words of eight bytes, each mixed into the fingerprint by a step that is one-to-one in either argument:
+strings of one length up to eight bytes never collide, longer ones only by chance, whatever they hold. Words of over
+LONG bytes, which are rare, are hashed one by one with BLAKE2b. Where a result must not rest on fingerprints,
+`exact_words` replaces them by numbers that are equal only for equal bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SEEDS = np.random.Generator(np.random.PCG64(20240229))
-BYTE_VALUE = _SEEDS.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 FACTORS = _SEEDS.integers(0, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -26,19 +26,11 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 #: Bytes of the words `[^\x20\x09-\x0D]+`.
 NONSPACE = np.ones(256, bool)
 NONSPACE[[32, 9, 10, 11, 12, 13]] = False
-#: Texts are hashed in runs of whole documents of about so many bytes, which keeps the working arrays in cache.
+#: Texts are hashed in runs of whole documents of about so many bytes, longer documents in pieces: it bounds working arrays.
 RUN_BYTES = 1 << 19
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers 0..n-1 and their inverses."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(max(n, RUN_BYTES * 2), base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+LONG = 128
+#: What is left of eight bytes if only the first 0..8 count.
+_FIRST = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -61,24 +53,82 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), at
 
 
-def runs(at: np.ndarray, size: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
-    """(first, end) of runs of documents with about `size` bytes each; a longer document is a run of its own."""
+def runs(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of documents with at most RUN_BYTES each; a longer document is a run of its own."""
     first = 0
     while first < len(at) - 1:
-        end = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
+        end = max(first + 1, int(np.searchsorted(at, at[first] + RUN_BYTES, "right")) - 1)
         yield first, end
         first = end
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of the polynomial: sums[i] covers values[:i]."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[values] * powers(len(values))[0], out=sums[1:])
-    return sums
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number; data must have seven bytes more than places are asked for."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data), strides=(1,))
+
+
+def _padded(data: np.ndarray, spare: int) -> np.ndarray:
+    out = np.zeros(len(data) + spare, np.uint8)
+    out[: len(data)] = data
+    return out
+
+
+def hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Fingerprints of slices of the data."""
+    lanes = eights(_padded(data, 8))
+    h = mix((size.astype(np.uint64) * FACTORS[63]) ^ (lanes[first] & _FIRST[np.minimum(size, 8)]))
+    for at in range(8, LONG, 8):
+        rows = np.flatnonzero(size > at)
+        if not len(rows):
+            break
+        h[rows] = mix(h[rows] ^ (lanes[first[rows] + at] & _FIRST[np.minimum(size[rows] - at, 8)]))
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[first[i] : first[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def byte_grams(data: np.ndarray, q: int) -> np.ndarray:
+    """The fingerprint of every q bytes in a row (q of eight at least)."""
+    n = max(0, len(data) - q + 1)
+    lanes, out = eights(data), np.zeros(n, np.uint64)
+    for i, at in enumerate([*range(0, q - 8, 8), q - 8]):
+        out += lanes[at : at + n] * FACTORS[i]
+    return mix(out)
+
+
+def _pieces(low: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of pieces of about RUN_BYTES that cut no word."""
+    at = 0
+    while at < len(low):
+        end = min(len(low), at + RUN_BYTES)
+        if end < len(low):
+            gaps = np.flatnonzero(~inside[at:end])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:
+                later = np.flatnonzero(~inside[end:])
+                end = end + int(later[0]) + 1 if len(later) else len(low)
+        yield at, end
+        at = end
 
 
 def words(data: np.ndarray, at: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a run of documents: each word's fingerprint, first byte, end, and number of its document within the run."""
+    if at[-1] - at[0] > 2 * RUN_BYTES:
+        parts = []
+        for a, b in runs(at):
+            if b > a + 1:
+                parts.append((*words(data, at[a : b + 1], alphabet), a, at[a] - at[0]))
+                continue
+            inside = alphabet[LOWER[data[at[a] : at[b]]]]
+            for low, high in _pieces(data[at[a] : at[b]], inside):
+                parts.append((*_words(data, np.array([at[a] + low, at[a] + high]), alphabet), a, at[a] + low - at[0]))
+        h, first, end, doc = (np.concatenate([p[i] + (p[5] if i in (1, 2) else p[4] if i == 3 else U(0)) for p in parts]) for i in range(4))
+        return h, first, end, doc
+    return _words(data, at, alphabet)
+
+
+def _words(data: np.ndarray, at: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     origin, n = at[0], int(at[-1] - at[0])
     low = LOWER[data[origin : at[-1]]]
     inside = np.zeros(n + 2, bool)
@@ -91,10 +141,38 @@ def words(data: np.ndarray, at: np.ndarray, alphabet: np.ndarray) -> tuple[np.nd
     cut = cut[cut > 0]
     ends[cut - 1] = inside[1:-1][cut - 1]
     first, end = np.flatnonzero(begins[:n]), np.flatnonzero(ends) + 1
-    sums = prefix(low)
-    h = (sums[end] - sums[first]) * powers(n + 1)[1][first]
     doc = np.searchsorted(at - origin, first, "right") - 1
-    return mix(h + (end - first).astype(np.uint64) * FACTORS[63]), first, end, doc
+    return hashes(low, first, end - first), first, end, doc
+
+
+def exact_words(data: np.ndarray, at: np.ndarray, h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each word that only equal words share: fingerprints are compared with the bytes that they stand for."""
+    low = LOWER[data[at[0] : at[-1]]]
+    size = end - first
+    _, index, number = np.unique(h, return_index=True, return_inverse=True)
+    same = index[number]  # a word of the same fingerprint
+    equal, lanes = size == size[same], eights(_padded(low, 8))
+    for place in range(0, LONG, 8):
+        rows = np.flatnonzero(equal & (size > place) & (size <= LONG))
+        if not len(rows):
+            break
+        part = _FIRST[np.minimum(size[rows] - place, 8)]
+        equal[rows] = (lanes[first[rows] + place] & part) == (lanes[first[same[rows]] + place] & part)
+    for i in np.flatnonzero(equal & (size > LONG)).tolist():
+        equal[i] = np.array_equal(low[first[i] : end[i]], low[first[same[i]] : end[same[i]]])
+    if equal.all():
+        return number
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(low[a:b].tobytes(), len(known)) for a, b in zip(first.tolist(), end.tolist(), strict=True)], np.int64)
+
+
+def slices(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Fingerprints of up to len(FACTORS) - 4 values in a row from each of `first`, n of them."""
+    out = np.zeros(len(first), np.uint64)
+    for j in range(int(n.max(initial=0))):
+        rows = np.flatnonzero(n > j)
+        out[rows] += h[first[rows] + j] * FACTORS[j]
+    return mix(out + n.astype(np.uint64))
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

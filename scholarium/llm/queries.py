@@ -49,7 +49,7 @@ def _of_kind(kind: int):
 def op10_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(as_text("base"), 256).alias("base_sha256"), as_text("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+    return found.select("doc_id", *counts, F.sha2(as_text("base"), 256).alias("base_sha256"), as_text("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,10 +174,26 @@ SELECT record_id, url_key, seen AS at, outcome, CASE WHEN outcome = 'resolved' T
 FROM judged
 """
 
+_JACCARD = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 4) - 1], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, other) AS (SELECT a, b FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON edges.a = reach.other)
+SELECT words.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(words.doc_id, coalesce(lo, words.doc_id)) AS component_id
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(other) AS lo FROM reach GROUP BY node) USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": _WORDS10,
     "op2_license_scan": _LICENSES,
     "op3_poisson_mixing": _MIXING,
     "op5_suffix_dedup": _REPEATS,
+    "op8_ngram_jaccard": _JACCARD,
     "op9_warc_revisits": _REVISITS,
 }

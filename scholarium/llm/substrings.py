@@ -41,14 +41,12 @@ _MESSAGES = "bucket int, key binary, block binary, doc_id binary, at binary, lon
 
 
 class _Run:
-    """The Q-gram buckets of a run of documents, and the blocks of windows that chose the same suffix."""
-
-    def __init__(self, data: np.ndarray, at: np.ndarray, length: int, q: int):
-        self.at, self.length, self.q = at - at[0], length, q
-        self.sums = H.prefix(data[at[0] : at[-1]])
-        self.inverse = H.powers(len(self.sums))[1]
-        n = int(self.at[-1])
-        self.buckets = H.mix((self.sums[q:] - self.sums[: max(0, n - q + 1)]) * self.inverse[: max(0, n - q + 1)])
+    """The Q-gram buckets of some documents (or of a piece of one, `base` bytes after its start), and the blocks of windows
+    that chose the same suffix."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, length: int, q: int, base: int = 0):
+        self.at, self.base, self.data = at - at[0], base, data[at[0] : at[-1]]
+        self.buckets = H.byte_grams(self.data, q)
         # the leftmost minimum: bucket above, place below, so that one comparison finds both
         place = np.arange(len(self.buckets), dtype=np.uint64) & H.U((1 << _LOW) - 1)
         least = H.sliding_min((self.buckets & ~H.U((1 << _LOW) - 1)) | place, length - q + 1)
@@ -64,9 +62,20 @@ class _Run:
         self.count = np.flatnonzero(last) - self.first + 1
         self.doc, self.key = doc[self.first], self.buckets[chosen[self.first]]
 
-    def slices(self, first: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        """Fingerprints of slices."""
-        return H.mix((self.sums[first + size] - self.sums[first]) * self.inverse[first] + np.asarray(size).astype(np.uint64) * H.FACTORS[61])
+    def places(self, first: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Places in the documents of places in the run."""
+        return first - self.at[doc] + self.base
+
+
+def _runs(data: np.ndarray, at: np.ndarray, length: int, q: int) -> Iterator[tuple[int, _Run]]:
+    """Runs of documents with the number of their first. A long document comes in pieces, so that what a task holds at a
+    time does not grow with it; a block that a cut divides is two blocks, told apart window by window where it matters."""
+    for a, b in H.runs(at):
+        if at[b] - at[a] <= 2 * H.RUN_BYTES:
+            yield a, _Run(data, at[a : b + 1], length, q)
+            continue
+        for low in range(int(at[a]), int(at[b]), H.RUN_BYTES):
+            yield a, _Run(data, np.array([low, min(low + H.RUN_BYTES + length - 1, int(at[b]))]), length, q, low - int(at[a]))
 
 
 def _packed(parts: dict[str, tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
@@ -145,7 +154,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFram
 
     def suffixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         ids, (data, at) = batch.column(0).to_numpy(), H.utf8(batch.column(1))
-        found = [(run.key, ids[a + run.doc]) for a, b in H.runs(at) for run in [_Run(data, at[a : b + 1], length, q)]]
+        found = [(run.key, ids[a + run.doc]) for a, run in _runs(data, at, length, q)]
         return (np.concatenate([x[i] for x in found]) if found else np.zeros(0, (np.uint64, np.int64)[i]) for i in (0, 1))
 
     def notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +173,10 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFram
         for batch in batches:
             ids, (data, at) = batch.column(0).to_numpy(), H.utf8(batch.column(1))
             found = [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))]
-            for a, b in H.runs(at):
-                run = _Run(data, at[a : b + 1], length, q)
+            for a, run in _runs(data, at, length, q):
                 keep = wanted.has(run.key)
                 first, count, doc = run.first[keep], run.count[keep], run.doc[keep]
-                found.append((run.key[keep], run.slices(first, count + length - 1), ids[a + doc], (first - run.at[doc]) * 256 + count))
+                found.append((run.key[keep], H.hashes(run.data, first, count + length - 1), ids[a + doc], run.places(first, doc) * 256 + count))
             key, block, doc, place, whole, several = _refine(*(np.concatenate(x) for x in zip(*found, strict=True)))
             own_doc, own_place = doc[whole], place[whole]
             key, block, doc, place, several = key[~whole], block[~whole], doc[~whole], place[~whole], several[~whole]
@@ -196,14 +204,14 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFram
             counts, _ = _lists(batch.column(3))
             lows = np.searchsorted(owners, np.arange(batch.num_rows + 1))
             found = [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))]
-            for a, b in H.runs(at):
-                run = _Run(data, at[a : b + 1], length, q)
-                some = slice(lows[a], lows[b])
+            for a, run in _runs(data, at, length, q):
+                some = np.arange(lows[a], lows[a + len(run.at) - 1])
+                some = some[(firsts[some] >= run.base) & (firsts[some] - run.base + counts[some] - 1 + length <= np.diff(run.at)[owners[some] - a])]
                 count, doc = counts[some], owners[some] - a
-                start = np.repeat(firsts[some] + run.at[doc], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                start = np.repeat(firsts[some] - run.base + run.at[doc], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 doc = np.repeat(doc, count)
-                later = H.mix(run.buckets[start + q] * H.FACTORS[0] + run.buckets[start + length - q] * H.FACTORS[1]) if 2 * q <= length <= 3 * q else run.slices(start, length)
-                found.append((run.buckets[start], later, ids[a + doc], start - run.at[doc]))
+                later = H.mix(run.buckets[start + q] * H.FACTORS[0] + run.buckets[start + length - q] * H.FACTORS[1]) if 2 * q <= length <= 3 * q else H.hashes(run.data, start, np.full(len(start), length))
+                found.append((run.buckets[start], later, ids[a + doc], run.places(start, doc)))
             bucket, later, doc, first, gone, _ = _refine(*(np.concatenate(x) for x in zip(*found, strict=True)))
             own = np.lexsort((first[gone], doc[gone]))
             own_doc, own_first = doc[gone][own], first[gone][own]
@@ -234,8 +242,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
     """Per document: doc_id, n_bytes, kept (bytes), n_removed, n_spans (maximal removed runs).
 
     A null text is empty; texts under `length` bytes lose nothing; nothing matches across documents, and strings that
-    repeat within one document only stay. Rows without doc_id are left out. Rows that repeat a doc_id are told apart by
-    neither: none is earlier than the other, and each loses what an earlier doc_id has. Other columns are ignored.
+    repeat within one document only stay. Rows without doc_id are left out. Rows that repeat a doc_id are one document to
+    the others: none is earlier than the other, and a span found in one is cut out of each that is long enough. Long texts
+    are read in pieces. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     spans = removed_spans(docs, length, q).groupBy("doc_id").agg(F.collect_set(F.col("first") * 1024 + F.col("end") - F.col("first")).alias("spans"))
