@@ -30,7 +30,8 @@ _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscri
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul caption".split())
 _CLOSES_P = _BLOCK - frozenset("body html head td th tr tbody thead tfoot caption option optgroup legend title".split())
 _SCOPE = frozenset("html body table td th caption article section div main aside nav header footer form ul ol blockquote details fieldset button".split())
-_SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
+_KIND = {"li": "li", "dt": "dd", "dd": "dd", "option": "option", "tr": "tr", "td": "td", "th": "td", "tbody": "tbody", "thead": "tbody", "tfoot": "tbody"}
+_ENDS = {"li": ("li",), "dd": ("dd",), "option": ("option",), "td": ("td",), "tr": ("tr", "td"), "tbody": ("tbody", "tr", "td")}  # what a start tag of a kind ends
 _LIST_SCOPE = frozenset("ul ol dl table select menu html body".split())
 _NEVER = frozenset("head nav header footer aside script style noscript template iframe object canvas svg button select textarea dialog menu search".split())
 # Words in class, id or role that tell what a part of a page is for.
@@ -61,48 +62,112 @@ def _names(name: str) -> bool:
     return len(words) > 1 and words[-1] in _PLURALS and words[-2] in _TOPICS and _LAYOUT.isdisjoint(words[:-2])
 
 
+class _Open:
+    """The open elements. Besides the stack, where each tag, each scope, and in each scope the paragraph and the list or
+    table part stands is noted, so that no tag is answered by a walk up the stack."""
+
+    def __init__(self, ended):
+        self.stack: list[tuple[int, str]] = [(0, "#root")]
+        self.of: dict[str, list[int]] = {}
+        self.scopes, self.paragraphs, self.parts = [0], [0], [{}]
+        self.ended = ended
+
+    def push(self, node: int, tag: str) -> None:
+        depth = len(self.stack)
+        self.stack.append((node, tag))
+        self.of.setdefault(tag, []).append(depth)
+        if tag == "p":
+            self.paragraphs[-1] = depth
+        if tag in _KIND:
+            self.parts[-1][_KIND[tag]] = depth
+        if tag in _SCOPE:
+            self.scopes.append(depth)
+            self.paragraphs.append(0)
+        if tag in _LIST_SCOPE:
+            self.parts.append({})
+
+    def pop(self, depth: int) -> None:
+        """Ends all elements from this depth on."""
+        while len(self.stack) > depth:
+            node, tag = self.stack.pop()
+            self.of[tag].pop()
+            if tag in _LIST_SCOPE:
+                self.parts.pop()
+            if tag in _SCOPE:
+                self.scopes.pop()
+                self.paragraphs.pop()
+            if tag in _KIND and self.parts[-1].get(_KIND[tag]) == len(self.stack):
+                del self.parts[-1][_KIND[tag]]
+            if tag == "p":
+                self.paragraphs[-1] = 0
+            self.ended(node, tag)
+
+    def start(self, tag: str) -> None:
+        """Ends what a start tag ends by itself."""
+        if tag in _KIND:
+            part = self.parts[-1]
+            depth = min((part[k] for k in _ENDS[_KIND[tag]] if k in part), default=0)
+            if depth:
+                self.pop(depth)
+        if tag in _CLOSES_P and self.paragraphs[-1]:
+            self.pop(self.paragraphs[-1])
+
+    def end(self, tag: str) -> None:
+        """Ends the innermost element of the tag; an inline one only inside the innermost scope."""
+        depths = self.of.get(tag)
+        if depths and (tag in _BLOCK or depths[-1] >= self.scopes[-1]):
+            self.pop(depths[-1])
+
+    def within(self, *tags: str) -> bool:
+        return any(self.of.get(t) for t in tags)
+
+
 class _Page:
     """The tree: for each node its tag, parent and whether it is cut; pieces of text and block edges in page order. Marked
-    are nodes whose cut is settled when the whole tree is known."""
+    are nodes whose cut is settled when the whole tree is known. The time is in proportion to the page's length."""
 
     def __init__(self, text: str):
         self.tag, self.parent, self.cut, self.marked = ["#root"], [-1], [False], [False]
         self.pieces: list[tuple[int, str | None]] = []
-        stack, at = [0], 0
-        length = len(text)
+        open_, at, length = _Open(self._ended), 0, len(text)
         while at < length:
             m = _TAG.search(text, at)
             if m is None or m.start() > at:
-                self.pieces.append((stack[-1], html.unescape(text[at : m.start() if m else length])))
+                self.pieces.append((open_.stack[-1][0], html.unescape(text[at : m.start() if m else length])))
             if m is None:
                 break
             at = m.end()
             start = m["start"] or m["odd"]
             if start:
                 start = start.lower()
-                self._close_implied(stack, start)
-                node = self._add(start, stack[-1], m["attrs"] or m["rest"] or "")
+                open_.start(start)
+                parent = open_.stack[-1][0]
+                node = self._add(start, parent, m["attrs"] or m["rest"] or "", open_)
                 if start in _BLOCK:
-                    self.pieces.append((stack[-1], None))
+                    self.pieces.append((parent, None))
                 elif start == "br":
-                    self.pieces.append((stack[-1], " "))
+                    self.pieces.append((parent, " "))
                 if start in _RAW:
                     end = re.compile(rf"</{re.escape(start)}(?=[\s/>])", re.I).search(text, at)
                     self.cut[node] = True
                     at = end.start() if end else length
-                    stack.append(node)
+                    open_.push(node, start)
                 elif start not in _VOID and not (start in ("svg", "path") and m.group().endswith("/>")):
-                    stack.append(node)
+                    open_.push(node, start)
             elif m["end"]:
-                self._close(stack, m["end"].lower())
+                open_.end(m["end"].lower())
         if True in self.marked:
             self._settle()
 
-    def _add(self, tag: str, parent: int, attrs: str) -> int:
+    def _ended(self, node: int, tag: str) -> None:
+        if tag in _BLOCK:
+            self.pieces.append((self.parent[node], None))
+
+    def _add(self, tag: str, parent: int, attrs: str, open_: _Open) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         cut, marked = tag in _NEVER, tag == "form"
-        if tag == "header" and self._inside(parent, ("article", "main")):
+        if tag == "header" and open_.within("article", "main"):
             cut = False  # of the article, with its title
         if attrs and not cut and tag not in ("html", "body", "main"):
             for name, *values in _ATTR.findall(attrs):
@@ -141,43 +206,6 @@ class _Page:
         for i in range(1, n):
             self.cut[i] = self.cut[i] or self.marked[i] or self.cut[self.parent[i]]
 
-    def _inside(self, node: int, tags: tuple[str, ...]) -> bool:
-        while node > 0:
-            if self.tag[node] in tags:
-                return True
-            node = self.parent[node]
-        return False
-
-    def _pop(self, stack: list[int], depth: int) -> None:
-        while len(stack) > depth:
-            node = stack.pop()
-            if self.tag[node] in _BLOCK:
-                self.pieces.append((self.parent[node], None))
-
-    def _close_implied(self, stack: list[int], tag: str) -> None:
-        scope = _LIST_SCOPE if tag in _SIBLINGS else _SCOPE
-        closes = _SIBLINGS.get(tag, ())
-        for depth in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[depth]] in scope:
-                break
-            if self.tag[stack[depth]] in closes:
-                self._pop(stack, depth)
-        if tag in _CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[depth]] == "p":
-                    self._pop(stack, depth)
-                    break
-                if self.tag[stack[depth]] in _SCOPE:
-                    break
-
-    def _close(self, stack: list[int], tag: str) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[depth]] == tag:
-                self._pop(stack, depth)
-                return
-            if tag not in _BLOCK and self.tag[stack[depth]] in _SCOPE:
-                return
-
     def chosen(self) -> list[bool]:
         """Which nodes are of the article."""
         n = len(self.tag)
@@ -263,7 +291,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for every row: the main text, one line a block, white space squeezed, references decoded.
 
-    A null or empty page, or one without an article, has an empty text. Rows are taken one by one: repeated rows are
+    A null or empty page, or one without an article, has an empty text. A very long page takes time in proportion. Rows are taken one by one: repeated rows are
     repeated, null ids and URLs stay. Other columns are ignored.
     """
 
