@@ -5,8 +5,9 @@ a small softmax classifier learns to tell a vector's partition. Index: the class
 vector. Search: a query goes to its most probable partitions, whose vectors are all compared with it exactly. How many
 is found on the sample, as the least number that reaches the wished recall for queries that were kept out of the fit.
 
-Equal vectors are one row of the index, with their least ids; partitions that turn out large are cut into pieces, so no
-task holds more than PIECE vectors at a time.
+There are about n / PER_PARTITION partitions, as far as the sample can show their shape. Equal vectors are one row of the
+index, with their least ids. Vectors and queries of a partition are both cut into pieces, every piece of the one meets
+every piece of the other, and no task holds more than about PIECE of either at a time.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 
 from scholarium.llm.frames import materialise
 
-#: Vectors for the fit at most; vectors a partition should have; partitions at most (the sample must show their shape).
-SAMPLE, PER_PARTITION, PARTITIONS = 4096, 1024, 64
-#: Vectors and queries that meet in one task at most.
+#: Vectors for the fit at most; vectors that a partition should have; sampled vectors that show a partition's shape.
+SAMPLE, PER_PARTITION, SHAPE = 16_384, 128, 32
+#: Vectors, and queries, that meet in one task at most (about, as they are dealt by a hash).
 PIECE = 4096
 WISHED = 0.95
 
@@ -74,25 +75,29 @@ def balanced_cut(x: np.ndarray, graph: np.ndarray, parts: int, seed: int = 5) ->
     return part
 
 
-def fit_classifier(x: np.ndarray, part: np.ndarray, parts: int, steps: int = 300) -> np.ndarray:
-    """Weights (and a last row of biases) of a softmax classifier, by full-batch Adam."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros((z.shape[1], parts))
-    m, v, want = np.zeros_like(w), np.zeros_like(w), np.eye(parts)[part]
+def fit_classifier(x: np.ndarray, part: np.ndarray, parts: int, steps: int = 300, batch: int = 2048) -> np.ndarray:
+    """Weights (and a last row of biases) of a softmax classifier, by Adam over batches of the shuffled rows."""
+    rng = np.random.default_rng(3)
+    z = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    w = np.zeros((z.shape[1], parts), np.float32)
+    m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        s = z @ w
+        rows = rng.integers(0, len(z), batch) if len(z) > batch else np.arange(len(z))
+        s = z[rows] @ w
         s = np.exp(s - s.max(1, keepdims=True))
-        g = z.T @ (s / s.sum(1, keepdims=True) - want) / len(z) + 1e-5 * w
+        s /= s.sum(1, keepdims=True)
+        s[np.arange(len(rows)), part[rows]] -= 1
+        g = z[rows].T @ s / len(rows) + 1e-5 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return w
+        w -= 0.3 * 0.99**t * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return w.astype(np.float64)
 
 
 class Router:
     """The classifier, the scale of its inputs, and how many partitions a query should see."""
 
     def __init__(self, sample: np.ndarray, n: int, k: int, wished: float = WISHED):
-        parts = 1 << max(0, min(int(np.log2(max(1, n / PER_PARTITION))), int(np.log2(PARTITIONS)), int(np.log2(max(1, len(sample) / 32)))))
+        parts = 1 << max(0, min(int(np.log2(max(1, n / PER_PARTITION))), int(np.log2(max(1, len(sample) / SHAPE)))))
         self.mean = sample.mean(0) if len(sample) else 0.0
         self.scale = 1.0 / max(1e-30, float(np.abs(sample - self.mean).std())) if len(sample) else 1.0
         self.parts, self.probes, self.weights = parts, parts, None
@@ -162,8 +167,12 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMPL
     piece = lambda c: F.pmod(F.xxhash64(c), F.col("pieces")).cast("int")
     held = indexed.join(F.broadcast(pieces), "part").select("part", piece("ids").alias("piece"), "ids", "v")
     asked = rows.where("asks").select("v").distinct().join(points.select("v", "point"), "v").select("point", "v").mapInArrow(route, "point long, v array<double>, parts array<int>")
-    asked = asked.select("point", "v", F.explode("parts").alias("part")).join(F.broadcast(pieces), "part").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    asked = asked.select("part", "piece", "point", "v")
+    asked = materialise(asked)
+    lots = asked.select(F.explode("parts").alias("part")).groupBy("part").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("lots"))  # a row a partition
+    met = pieces.join(lots, "part")
+    asked = asked.select("point", "v", F.explode("parts").alias("part")).join(F.broadcast(met), "part").withColumn("lot", F.pmod(F.xxhash64("point"), F.col("lots")).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    asked = asked.select("part", "piece", "lot", "point", "v")
+    held = held.join(F.broadcast(lots), "part").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).select("part", "piece", "lot", "ids", "v")
 
     def nearest(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"point": [], "vec_id": [], "score": []}
@@ -184,7 +193,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMPL
                 out["score"].append(d[owner[of]])
         return pa.table({c: np.concatenate(v) if v else np.zeros(0, np.float64 if c == "score" else np.int64) for c, v in out.items()})
 
-    found = asked.groupBy("part", "piece").cogroup(held.groupBy("part", "piece")).applyInArrow(nearest, "point long, vec_id long, score double")
+    found = asked.groupBy("part", "piece", "lot").cogroup(held.groupBy("part", "piece", "lot")).applyInArrow(nearest, "point long, vec_id long, score double")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("point").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1)
     lists = best.groupBy("point").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
     answers = rows.where("asks").select(F.col("vec_id").alias("query_id"), "v").distinct().join(points.select("v", "point"), "v").select("query_id", "point").join(lists, "point")
