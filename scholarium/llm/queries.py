@@ -153,10 +153,10 @@ FROM (SELECT d.*, unnest(range(1, c + 1)) AS copy FROM documents d JOIN drawn US
 _REVISITS = r"""
 WITH pages_ AS (
     SELECT page_id, md5(coalesce(html, '')) AS digest, 1700000000 + page_id * 60 AS fetched,
-           regexp_replace(lower(regexp_extract(url, '^\s*(?i:https?)://([^/?#\s]+)', 1)), '^www\.|:(80|443)$', '', 'g') AS host,
-           regexp_replace(regexp_extract(url, '^\s*\w+://[^/?#\s]+([^?#\s]*)', 1), '/+$', '') AS path,
-           list_sort(list_filter(string_split(regexp_extract(url, '\?([^#\s]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS query
-    FROM pages),
+           regexp_replace(lower(regexp_extract(url, '^(?i:https?)://([^/?]+)', 1)), '^([^@]*@)?(www\.)?|:(80|443)$', '', 'g') AS host,
+           regexp_replace(regexp_extract(url, '^\w+://[^/?]+([^?]*)', 1), '/+$', '') AS path,
+           list_sort(list_filter(string_split(regexp_extract(url, '\?(.*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS query
+    FROM (SELECT page_id, html, regexp_extract(url, '^\s*([^#\s]*)', 1) AS url FROM pages)),
 keyed AS (SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS url_key FROM pages_),
 responses AS (SELECT page_id AS record_id, url_key, fetched AS seen, '"' || digest || '"' AS etag, strftime(make_timestamp((fetched - 3600) * 1000000), '%Y-%m-%d %H:%M:%S') AS modified FROM keyed),
 checked AS (SELECT *, ('0x' || substr(md5(page_id::VARCHAR), 1, 5))::BIGINT AS h FROM keyed),

@@ -1,7 +1,8 @@
 """WARC not-modified revisits: an as-of join, by canonical URL, to the latest earlier full response.
 
 One URL may have a third of all records, so a URL's records are cut at fixed points in time: windows run inside a
-(URL, stretch) and the last response of each earlier stretch is handed on, one row a stretch.
+(URL, stretch) and the last response of each earlier stretch is handed on, one row a stretch. A stretch in which one URL
+has more than MOST records is cut finer, for this URL.
 """
 
 from __future__ import annotations
@@ -9,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholarium.llm.frames import materialise, small
+
 #: The stretches into which the time from the first to the last record is cut, at least; more for many records.
 STRETCHES = 512
+#: Records of one URL in a stretch above which it is cut, so that about so many are in a part; parts of a stretch at most.
+MOST, FINEST = 100_000, 1 << 20
 # Header fields that a 304 response may bring up to date.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 # Query parameters that name a campaign or referrer, not a page.
@@ -18,11 +23,13 @@ TRACKING = "utm_[^=]*|ref|fbclid|gclid"
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without www. and default port, path without trailing slash, query sorted and without tracking
-    parameters; scheme and fragment go. Null for what has no host."""
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^\s*(?i:https?)://([^/?#\s]+)", 1)), r"^www\.|:(80|443)$", "")
-    path = F.regexp_replace(F.regexp_extract(url, r"^\s*\w+://[^/?#\s]+([^?#\s]*)", 1), "/+$", "")
-    query = F.filter(F.split(F.regexp_extract(url, r"\?([^#\s]*)", 1), "&"), lambda p: (p != "") & ~p.rlike(f"^({TRACKING})(=|$)"))
+    """Host in lower case without user, www. and default port, path without trailing slash, query sorted and without
+    tracking parameters; scheme and fragment go (first, as a fragment may hold what looks like a query). Null for what has
+    no host."""
+    url = F.regexp_extract(url, r"^\s*([^#\s]*)", 1)
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^(?i:https?)://([^/?]+)", 1)), r"^([^@]*@)?(www\.)?|:(80|443)$", "")
+    path = F.regexp_replace(F.regexp_extract(url, r"^\w+://[^/?]+([^?]*)", 1), "/+$", "")
+    query = F.filter(F.split(F.regexp_extract(url, r"\?(.*)", 1), "&"), lambda p: (p != "") & ~p.rlike(f"^({TRACKING})(=|$)"))
     return F.when(host != "", F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(query), "&"))).otherwise("")))
 
 
@@ -30,7 +37,7 @@ def _weak(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, stretches: int = STRETCHES, rows_a_stretch: int = 100_000) -> DataFrame:
+def resolve_revisits(records: DataFrame, stretches: int = STRETCHES, most: int = MOST) -> DataFrame:
     """For each revisit: record_id, url_key, at, outcome, response_id, headers (array of name, value, sorted).
 
     records: record_id long, url string, at timestamp, type ('response' or 'revisit'), headers map. Names are compared in
@@ -39,7 +46,7 @@ def resolve_revisits(records: DataFrame, stretches: int = STRETCHES, rows_a_stre
     response_id and headers: those of the response, brought up to date by the permitted ones of the revisit.
 
     Strictly earlier counts; of responses at one time the largest record_id. Null or hostless URLs and null times find
-    nothing and are found by none; null headers are none. Repeated rows are resolved one by one. Other columns are ignored.
+    nothing and are found by none; null headers are none. Bodies are not looked at, however long. Repeated rows are resolved one by one. Other columns are ignored.
     """
     entries = F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["value"].alias("value")))
     rows = records.select(F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("url_key"), F.col("at").cast("timestamp").alias("at"), "type", F.array_sort(entries).alias("headers"))
@@ -49,8 +56,13 @@ def resolve_revisits(records: DataFrame, stretches: int = STRETCHES, rows_a_stre
     astray = rows.where(~placed & (F.col("type") == "revisit"))
     rows = rows.where(placed)
     low, high, n = rows.agg(F.min("us"), F.max("us"), F.count("*")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // max(stretches, n // rows_a_stretch)))
-    rows = rows.withColumn("stretch", F.floor((F.col("us") - F.lit(low or 0)) / F.lit(width)))
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // max(stretches, n // most)))
+    since = F.col("us") - F.lit(low or 0)
+    rows = rows.withColumns({"stretch": F.floor(since / F.lit(width)), "inside": since % F.lit(width)})
+    busy = rows.groupBy("url_key", "stretch").agg(F.count("*").alias("c")).where(F.col("c") > most)
+    busy = materialise(busy.select(F.col("url_key").alias("_key"), F.col("stretch").alias("_stretch"), F.least(F.lit(FINEST), F.ceil(F.col("c") / most)).alias("cuts")))  # a row for `most` records at least
+    rows = rows.join(small(busy), (F.col("url_key") == F.col("_key")) & (F.col("stretch") == F.col("_stretch")), "left")
+    rows = rows.withColumn("stretch", F.col("stretch") * FINEST + F.coalesce(F.floor(F.col("inside") * (F.col("cuts") / F.lit(width))), F.lit(0))).drop("_key", "_stretch", "cuts", "inside")
     rows = rows.withColumn("full", F.when(F.col("type") == "response", F.struct("us", "record_id", "etag", "modified", "headers")))
     lasts = rows.groupBy("url_key", "stretch").agg(F.max("full").alias("last_full"))
     handed = lasts.withColumn("handed", F.max("last_full").over(Window.partitionBy("url_key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("url_key").alias("_key"), F.col("stretch").alias("_stretch"), "handed")
