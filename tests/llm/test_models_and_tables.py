@@ -3,13 +3,18 @@
 import hashlib
 import math
 import random
+import re
+import unicodedata
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scholarium.llm import mixing, neighbours, quality, revisits
 
+GIVEN = "/root/testdata/sf0.1/embeddings.parquet"
 DOCS = "doc_id long, text string, source string, copy string, score string"
 
 
@@ -39,7 +44,11 @@ def test_copies_follow_the_rates(spark):
 
     counts = Counter(r.doc_id for r in got)
     assert all(counts[r[0]] == poisson(rates[r[2]], "" if r[0] is None else r[0]) for r in rows)
+    split = mixing.replicate(docs, weights, few=0)  # more sources than are broadcast
+    assert Counter(r.doc_id for r in split.collect()) == counts
     assert mixing.replicate(docs.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "x" * 3_000_000, "big", "c", "s")], DOCS)
+    assert all(len(r.text) == 3_000_000 for r in mixing.replicate(long).collect())
 
 
 def test_revisits_against_a_scan(spark):
@@ -67,13 +76,42 @@ def test_revisits_against_a_scan(spark):
             want[i] = ("resolved", found[1]) if new["Last-Modified"] == old["Last-Modified"] else ("mismatch", None)
         else:
             want[i] = ("unverified", None)
-    for stretches in (1, 7, 512):
-        got = revisits.resolve_revisits(records, stretches).collect()
+    for stretches, most in ((1, 100_000), (7, 3), (512, 2)):  # few records in a stretch: busy ones are cut finer
+        got = revisits.resolve_revisits(records, stretches, most).collect()
         assert {r.record_id: (r.outcome, r.response_id) for r in got} == want
     assert any(r.headers and ("x-own", "r") in [tuple(h) for h in r.headers] for r in got)
     assert revisits.resolve_revisits(records.limit(0)).count() == 0
 
 
+def test_canonical_urls(spark):
+    urls = {
+        "http://a.org/x#f?b=1": "a.org/x", "https://user:pw@WWW.a.org:443/x/?b=2&a=1&utm_source=z#q": "a.org/x?a=1&b=2", "http://a.org": "a.org", "HTTP://a.org:80/?ref=x": "a.org",
+        "ftp://a.org": None, "nonsense": None, "": None, "http://a.org/u@v": "a.org/u@v", " http://a.org/p?q ": "a.org/p?q",
+    }
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", revisits.canonical_url(F.col("u")).alias("k")).collect()
+    assert {r.u: r.k for r in rows} == urls
+
+
+@pytest.mark.skipif(not Path(GIVEN).exists(), reason="the given tables are not here")
+@pytest.mark.parametrize("piece", [4096, 64])
+def test_recall_on_the_given_vectors(spark, piece, monkeypatch):
+    """Queries are routed to a part of several partitions; recall is measured against brute force."""
+    monkeypatch.setattr(neighbours, "PIECE", piece)
+    table = spark.read.parquet(GIVEN)
+    x = np.array([r.embedding for r in table.orderBy("vec_id").collect()], np.float64)
+    got = neighbours.search(table, F.col("vec_id") % 100 == 0, 10).collect()
+    router = neighbours.Router(x, len(x), 10)
+    assert router.parts >= 8 and router.probes < router.parts
+    hits = 0
+    for q in range(0, len(x), 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(d, kind="stable")[:10].tolist()))
+    recall = hits / (10 * len(range(0, len(x), 100)))
+    print("recall", recall, "partitions", router.probes, "of", router.parts)
+    assert recall >= 0.9
+
+
 def test_neighbours_are_found(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((24, 16)) * 3
@@ -99,6 +137,34 @@ def test_neighbours_are_found(spark):
     assert neighbours.search(table.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def plain_statistics(t):
+    """The statistics of a text in plain Python."""
+    t = t or ""
+    n, words, lines = len(t), re.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" ").split(" "), t.split("\n")
+    symbols = "".join("\n" if unicodedata.category(c)[0] in "LN" or c in " \t\n\x0b\f\r" else c for c in t)
+    runs = [r for r in symbols.split("\n") if r]
+    w = len(words) if n else 0
+    per = lambda a, b: a / b if b > 0 else 0.0
+    return {
+        "log_chars": math.log1p(n), "word_chars": per(n, w), "distinct_words": per(len(set(words)), w), "upper": per(sum(unicodedata.category(c) == "Lu" for c in t), n), "digits": per(sum(c in "0123456789" for c in t), n),
+        "symbols": per(sum(map(len, runs)), n), "doubled_symbols": per(sum(len(m.group()) // 2 for r in runs for m in re.finditer(r"(.)\1+", r)), w), "bars": per(t.count("|"), w), "stops": per(t.count("."), w),
+        "line_words": per(w, len(lines)), "distinct_lines": per(len(set(lines)), len(lines)) if n else 0.0, "bad_characters": per(sum(c == "\ufffd" or 0 < ord(c) < 9 or 13 < ord(c) < 28 for c in t), n),
+    }
+
+
+def test_compiled_rules_against_plain_python(spark):
+    rng = random.Random(8)
+    texts = ["", None, " ", "ABC. déf | x!! y", "a\x01b\x02\n\n|||", "Éé 12 34…", "x" * 100_000, *("".join(rng.choice("aB é1|.!,\n\x03") for _ in range(rng.randint(0, 120))) for _ in range(150))]
+    rules = [((("bars", True, 0.05), ("upper", False, 0.2)), 1.5), ((("distinct_lines", True, 0.5),), -0.75), ((("log_chars", False, 3.0), ("symbols", True, 0.1), ("doubled_symbols", True, 0.0)), 2.0)]
+    docs = spark.createDataFrame([(i, t, "s", "c", "x") for i, t in enumerate(texts)], DOCS)
+    numbers = {r.doc_id: r.s.asDict() for r in quality.with_statistics(docs, "text", "s").select("doc_id", "s").collect()}
+    for r in quality.RuleModel(rules, 0.25).score(docs).collect():
+        plain = plain_statistics(texts[r.doc_id])
+        assert all(abs(plain[k] - numbers[r.doc_id][k]) < 1e-9 for k in quality.STATISTICS), (texts[r.doc_id], plain, numbers[r.doc_id])
+        margin = 0.25 + sum(w for rule, w in rules if all(plain[k] > at if above else plain[k] <= at for k, above, at in rule))
+        assert abs(r.score - 1 / (1 + math.exp(-margin))) < 1e-12
+
+
 def test_quality_is_learnt(spark):
     rng = random.Random(9)
     words = ["sed", "ut", "omnis", "iste", "natus", "error", "sit"]
