@@ -32,15 +32,19 @@ def relevance(lib_sim: Column, topic_sim: Column | None = None) -> Column:
     """The library's similarity, or its geometric mean with the topic's where there is one."""
     if topic_sim is None:
         return lib_sim
-    return F.coalesce(F.bround(F.sqrt(lib_sim * F.greatest(topic_sim, F.lit(0.0))), 3), lib_sim)
+    return F.when(topic_sim.isNull(), lib_sim).otherwise(F.coalesce(F.bround(F.sqrt(lib_sim * F.greatest(topic_sim, F.lit(0.0))), 3), lib_sim))
+
+
+def influence(citations: Column) -> Column:
+    """Citations on a scale from 0 to 1, which 400 of them reach."""
+    return F.least(F.lit(1.0), F.sqrt(F.coalesce(citations, F.lit(0)).cast("double")) / 20.0)
 
 
 def rank_score(relevance_: Column, citations: Column, year: Column, status: Column, year_now: int, weights: tuple[float, float, float] = (0.6, 0.25, 0.15)) -> Column:
     """Relevance (0.5 if unknown), influence and freshness, weighted; what the library has goes to the end."""
     rel = F.coalesce(relevance_.cast("double"), F.lit(0.5))
-    cited = F.least(F.lit(1.0), F.sqrt(F.coalesce(citations, F.lit(0)).cast("double")) / 20.0)
     fresh = F.when(F.coalesce(year, F.lit(0)) != 0, clamp(1 - (F.lit(year_now) - year) / 15.0)).otherwise(0.3)
-    return F.bround(weights[0] * rel + weights[1] * cited + weights[2] * fresh - F.when(status.isin("have", "likely"), 1.0).otherwise(0.0), 4)
+    return F.bround(weights[0] * rel + weights[1] * influence(citations) + weights[2] * fresh - F.when(status.isin("have", "likely"), 1.0).otherwise(0.0), 4)
 
 
 def quality(venue: Column, citations: Column, doi: Column) -> Column:

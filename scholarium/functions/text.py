@@ -88,6 +88,7 @@ def restore_abstract(index: Column, most: int = 1500) -> Column:
     return F.substring(F.array_join(F.transform(last, lambda x: x["w"]), " "), 1, most)
 
 
+# The patterns of what goes.
 def clean_chunk(text: Column) -> Column:
     t = F.regexp_replace(text_or_empty(text), r"!\[\]\([^)]*\)", "")
     t = F.regexp_replace(t, "[ \t]*\n[ \t]*", "\n")
@@ -102,6 +103,7 @@ def vector_text(title: Column, abstract: Column) -> Column:
     return strip(F.concat(text_or_empty(title), F.lit(". "), F.substring(text_or_empty(abstract), 1, 1500)))
 
 
+# Fixed value: the pattern of an image's mark.
 def drop_image_marks(text: Column) -> Column:
     return F.regexp_replace(text, r"!\[\]\(images/[^)]+\)", "")
 
@@ -127,6 +129,7 @@ def is_full_text_title(title: Column) -> Column:
     return F.lower(strip(text_or_empty(title))) == "full text pdf"
 
 
+# What goes of a page, in this order.
 def html_body(page: Column) -> Column:
     """Page without images, styles, scripts and tags, in this order; references stay as they are."""
     drops = ((r"<img[^>]*>", ""), (r"(?s)<style.*?</style>", ""), (r"(?s)<script.*?</script>", ""), (r"<[^>]+>", " "))
@@ -160,12 +163,21 @@ def overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.least(F.size(x), F.size(y)), F.lit(0)), F.lit(0.0))
 
 
+def json_text(text: Column) -> Column:
+    """The JSON in a model's answer, as text: without code fences, or else from its first to its last brace; null if neither
+    is JSON."""
+    t = strip(F.regexp_replace(strip(text_or_empty(text)), "(?dm)^```(?:json)?|```$", ""))
+    inner = F.regexp_extract(t, r"(?s)\{.*\}", 0)
+    return F.when(F.try_parse_json(t).isNotNull(), t).when(F.try_parse_json(inner).isNotNull(), inner)
+
+
 def lenient_json(text: Column) -> Column:
     """Variant from a model's answer: code fences go, and if the rest is no JSON its outermost braces are tried; else null."""
     t = strip(F.regexp_replace(strip(text_or_empty(text)), "(?dm)^```(?:json)?|```$", ""))
     return F.coalesce(F.try_parse_json(t), F.try_parse_json(F.regexp_extract(t, r"(?s)\{.*\}", 0)))
 
 
+# Fixed value: the pattern of the phrase.
 def instrument_name(paragraph: Column) -> Column:
     """The leading phrase before a colon or bracket, if it is 3 to 59 characters long; else empty."""
     name = strip(F.regexp_extract(paragraph, r"^\s*([A-Za-z][^:：(]{2,60}?)\s*[:：(]", 1))

@@ -28,19 +28,32 @@ def exact_match(papers: DataFrame, library: DataFrame) -> DataFrame:
     return keyed.withColumn("status", F.when(F.col("_d") | F.col("_t"), "have").otherwise("new")).drop("_doi_key", "_title_key", "_doi", "_title", "_d", "_t")
 
 
-def nearest(candidates: DataFrame, collection: DataFrame, n: int, most_broadcast: int = 20_000) -> DataFrame:
+def in_library(discovered: DataFrame, library: DataFrame) -> DataFrame:
+    """Discovery rows (title, doi ...) with `in_library`: whether the library has the title, or the DOI in any case, whose
+    white space counts."""
+    titles = library.select(tx.title_key(F.col("title")).alias("_title")).where("_title <> ''").distinct().withColumn("_t", F.lit(True))
+    dois = library.select(F.lower(tx.text_or_empty(F.col("doi"))).alias("_doi")).where("_doi <> ''").distinct().withColumn("_d", F.lit(True))
+    keyed = discovered.withColumns({"_title_key": tx.title_key(F.col("title")), "_doi_key": F.lower(tx.text_or_empty(F.col("doi")))})
+    keyed = keyed.join(broadcast_if_small(titles), F.col("_title_key") == F.col("_title"), "left").join(broadcast_if_small(dois), F.col("_doi_key") == F.col("_doi"), "left")
+    return keyed.withColumn("in_library", F.coalesce(F.col("_t") | F.col("_d"), F.col("_t"), F.col("_d"), F.lit(False))).drop("_title_key", "_doi_key", "_title", "_doi", "_t", "_d")
+
+
+def nearest(candidates: DataFrame, collection: DataFrame, n: int, most: int = 20_000) -> DataFrame:
     """(pos, rank, id, sim): the n nearest of collection (id, vec) for each candidate (pos, vec), by cosine.
 
-    Every pair is compared. The candidates, a stated query set, are broadcast if a count shows that they are few; then the
-    collection is scanned once. More of them are dealt in blocks of about most_broadcast, and a task compares a block with
-    a partition of the collection, so that none holds more than a block. Each task hands on n rows a candidate.
+    Every candidate, a stated query set, is compared with every row, in blocks of about `most` by `most`: rows are repeated
+    for each block of candidates and candidates for each piece of the collection, and block and piece are what they are
+    joined by. With one block the candidates are broadcast and the collection is scanned once. No method changes with the
+    sizes. Before they are shuffled, a task's rows are cut to n a candidate.
     """
     asked, rows = candidates.select("pos", F.col("vec").alias("_q")), collection.select("id", "vec")
-    count = asked.count()
-    if count <= most_broadcast:
-        pairs = rows.join(F.broadcast(asked))
-    else:
-        pairs = rows.join(asked.repartition(-(-count // max(1, most_broadcast))).hint("shuffle_replicate_nl"))
+    blocks = max(1, -(-asked.count() // max(1, most)))
+    pieces = max(1, -(-rows.count() // max(1, most))) if blocks > 1 else 1
+    dealt = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    asked = asked.withColumn("_block", dealt("pos", blocks)).withColumn("_piece", every(pieces))
+    rows = rows.withColumn("_piece", dealt("id", pieces)).withColumn("_block", every(blocks))
+    pairs = rows.join(F.broadcast(asked) if blocks == 1 else asked, ["_block", "_piece"])
     scored = pairs.select("pos", "id", scores.cosine(F.col("_q"), F.col("vec")).alias("sim"))
     ordered = Window.partitionBy("pos").orderBy(F.desc("sim"), "id")
     return scored.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= n)

@@ -27,23 +27,24 @@ def in_years(papers: DataFrame, first: int | None = None, last: int | None = Non
 
 
 def dedupe_best(papers: DataFrame) -> DataFrame:
-    """Of the records of one title the best, at the place (`pos`) of the first; of equals the earlier. Records whose title
-    has no letters or digits are never merged.
+    """Of the records of one title the best, at the place (`pos`, each row's own) of the first; of equals the earlier.
+    Records whose title has no letters or digits are never merged.
 
-    A grouped max_by with partial aggregation, so a title that many records share is reduced before the shuffle.
+    What is grouped is narrow (a key, a quality, a place) and reduced before the shuffle, so a title that many records
+    share is no hot key; whole rows only meet the places of those that stay.
     """
     kept = best_of_titles(papers, -F.col("pos"))
-    return kept.select(*[(-F.col("_place")).alias("pos") if c == "pos" else F.col(f"_row.{c}").alias(c) for c in papers.columns])
+    return kept.select(*[(-F.col("_place")).alias("pos") if c == "pos" else F.col(c) for c in papers.columns])
 
 
 def best_of_titles(papers: DataFrame, place: Column) -> DataFrame:
-    """(_place, _row): the best record of each title as a struct, and the greatest place of the title's records. A record
-    with a greater place comes earlier; of equals it wins."""
+    """The best record of each title, with `_place`, the greatest place of the title's records. A record with a greater
+    place comes earlier; of equals it wins. pos tells records apart."""
     key = tx.dedupe_key(F.col("title"))
-    row = F.struct(*[F.col(c) for c in papers.columns])
     best = F.struct(scores.quality(F.col("venue"), F.col("citations"), F.col("doi")).alias("q"), place.alias("p"))
-    keyed = papers.select(F.when(key != "", key).otherwise(F.concat(F.lit("#"), F.col("pos"))).alias("_key"), place.alias("_place"), row.alias("_row"), best.alias("_best"))
-    return keyed.groupBy("_key").agg(F.max("_place").alias("_place"), F.max_by("_row", "_best").alias("_row"))
+    keyed = papers.select(F.when(key != "", F.sha2(key, 256)).otherwise(F.concat(F.lit("#"), F.col("pos"))).alias("_key"), place.alias("_place"), "pos", best.alias("_best"))
+    chosen = keyed.groupBy("_key").agg(F.max("_place").alias("_place"), F.max_by("pos", "_best").alias("pos")).drop("_key")
+    return papers.join(chosen, "pos")
 
 
 def first_wins(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:

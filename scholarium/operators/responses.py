@@ -29,7 +29,7 @@ def query_set(base: DataFrame, answers: DataFrame, n: int = 5) -> DataFrame:
 
 def chart_points(responses: DataFrame) -> DataFrame:
     """(id, chart_type, series, n, x, y, error) of answers (id, raw): a row a point; what is no JSON is one row with an error."""
-    parsed = responses.withColumn("v", tx.lenient_json(F.col("raw"))).withColumn("c", F.from_json(F.to_json("v"), schemas.CHART))
-    points = parsed.where("v is not null").select("id", "c.chart_type", F.explode("c.series").alias("s")).select("id", "chart_type", F.col("s.name").alias("series"), F.posexplode("s.points").alias("n", "p"))
-    good = points.select("id", "chart_type", "series", "n", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"), F.lit(None).cast("string").alias("error"))
-    return good.unionByName(parsed.where("v is null").select("id", F.lit("not JSON").alias("error")), allowMissingColumns=True)
+    parsed = responses.select("id", tx.json_text(F.col("raw")).alias("j")).select("id", F.when(F.col("j").isNull(), "not JSON").alias("error"), F.from_json("j", schemas.CHART).alias("c"))
+    series = parsed.select("id", "error", "c.chart_type", F.explode_outer("c.series").alias("s"))
+    points = series.select("id", "error", "chart_type", F.col("s.name").alias("series"), F.posexplode_outer("s.points").alias("n", "p"))
+    return points.where("error is not null or p is not null").select("id", "chart_type", "series", "n", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"), "error")

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholarium.functions import text as tx
+
 VERDICTS = ("good", "bad")
 METRICS = ("chars", "figures", "numbers", "sections")
-# The reasons that a bad review may name.
-REASONS = ["missing_data", "too_vague", "figure_bad", "mechanism_wrong", "structure_bad", "truncated"]
+# The reasons that a bad review may name, and what a reader sees of them.
+REASONS = {
+    "missing_data": "缺关键数据（没有具体数值/条件）",
+    "too_vague": "太笼统，没有信息量",
+    "figure_bad": "图不对、缺图、或图文不搭",
+    "mechanism_wrong": "机理讲错了",
+    "structure_bad": "结构混乱、重复啰嗦",
+    "truncated": "明显被截断，没写完",
+}
 
 
 def check_verdict(verdict: str) -> str:
@@ -27,6 +36,13 @@ def shortened(reviews: DataFrame) -> DataFrame:
     return reviews.withColumns({"note": F.substring(F.coalesce("note", F.lit("")), 1, 500), "title": F.substring(F.coalesce("title", F.lit("")), 1, 120)})
 
 
+def report_snapshots(reports: DataFrame) -> DataFrame:
+    """reports (path, html, size, modified) with `snapshot`: the metrics of each page, its size in kB and its time."""
+    size = F.bround(F.col("size") / 1024).cast("int")
+    metrics = [c.cast("int").alias(k) for k, c in tx.report_metrics(F.col("html")).items()]
+    return reports.select("path", F.struct(*metrics, size.alias("size_kb"), F.date_format("modified", "yyyy-MM-dd HH:mm").alias("mtime")).alias("snapshot"))
+
+
 def pending(read: DataFrame, reviews: DataFrame) -> DataFrame:
     """Rows of read (key) without a review."""
     return read.join(reviews.select("key").distinct(), "key", "left_anti")
@@ -48,8 +64,13 @@ def review_stats(reviews: DataFrame) -> DataFrame:
     return reviews.agg(F.count("*").alias("total"), *counts, *means).withColumn("ready", (F.col("good") >= 3) & (F.col("bad") >= 3))
 
 
+def reason_label(reason: Column) -> Column:
+    return F.coalesce(*[F.when(reason == code, label) for code, label in REASONS.items()], reason)
+
+
 def reason_counts(reviews: DataFrame) -> DataFrame:
-    """(reason, n, first_pos), the most frequent first, ties by first appearance (pos, place in the list)."""
+    """(reason, label, n, first_pos), the most frequent first, ties by first appearance (pos, place in the list); a reason
+    that is none of REASONS is its own label."""
     exploded = reviews.select("pos", F.posexplode("reasons").alias("place", "reason"))
     grouped = exploded.groupBy("reason").agg(F.count("*").alias("n"), F.min(F.struct("pos", "place")).alias("_at"))
-    return grouped.orderBy(F.desc("n"), "_at").select("reason", "n", F.col("_at.pos").alias("first_pos"))
+    return grouped.orderBy(F.desc("n"), "_at").select("reason", reason_label(F.col("reason")).alias("label"), "n", F.col("_at.pos").alias("first_pos"))

@@ -18,16 +18,16 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def bm25(rows: DataFrame, query: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, score) of rows that share a term with the query. Only the query's terms leave a row, so what is shuffled is a
-    few counts a row, however long its text."""
+def bm25(rows: DataFrame, query: str, text: str = "text", key: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, score) of rows that share a term with the query, with columns named in `also`. Nothing of a row is shuffled:
+    the totals are one row, which is broadcast."""
     wanted = sorted({t for t in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()})
-    listed = rows.select(key, terms(F.col(text)).alias("t"))
+    listed = rows.select(key, *also, terms(F.col(text)).alias("t"))
     totals = listed.agg(F.count("*").alias("n_rows"), F.avg(F.size("t")).alias("mean"), *[F.count_if(F.array_contains("t", w)).alias(f"df{i}") for i, w in enumerate(wanted)])
-    scored = listed.select(key, F.size("t").alias("len"), *[_times("t", w).alias(f"tf{i}") for i, w in enumerate(wanted)]).join(F.broadcast(totals))
+    scored = listed.select(key, *also, F.size("t").alias("len"), *[_times("t", w).alias(f"tf{i}") for i, w in enumerate(wanted)]).join(F.broadcast(totals))
     part = lambda i: F.log(1 + (F.col("n_rows") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     score = sum((part(i) for i in range(1, len(wanted))), part(0)) if wanted else F.lit(0.0)
-    return scored.select(key, score.alias("score")).where("score > 0")
+    return scored.select(key, *also, score.alias("score")).where("score > 0")
 
 
 def _times(column: str, word: str) -> Column:
@@ -50,14 +50,14 @@ def search_papers(papers: DataFrame, query: str, limit: int = 25, prefer: str =
         raise ValueError(f"prefer {prefer!r} is not relevance, citations, impact or fresh")
     place = F.struct(*(["citations", "score"] if prefer == "citations" else ["score"]), (-F.col("pos")).alias("p"))
     best = best_of_titles(without_supplements(scored, keep_supplements), place)
-    return best.orderBy(F.desc("_place")).limit(max(1, min(200, limit))).select("_row.*")
+    return best.orderBy(F.desc("_place")).limit(max(1, min(200, limit))).drop("_place")
 
 
-def ask_evidence(chunks: DataFrame, question: str, top_k: int = 10) -> DataFrame:
-    """(doc_id, n, chunk, score): the best chunks for a question, top_k held to 1..100."""
-    keyed = chunks.withColumn("_k", F.struct("doc_id", "n"))
-    found = bm25(keyed, question, "chunk", "_k").orderBy(F.desc("score"), "_k").limit(max(1, min(100, top_k)))
-    return found.select("_k.doc_id", "_k.n", "score").join(chunks, ["doc_id", "n"])
+def ask_evidence(chunks: DataFrame, question: str, top_k: int = 10, year_from: int | None = None) -> DataFrame:
+    """(doc_id, n, chunk, score): the best chunks for a question, top_k held to 1..100. With year_from, only of documents
+    of that year or later; chunks then has a column year."""
+    found = bm25(in_years(chunks, year_from), question, "chunk", "doc_id", ("n", "chunk"))
+    return found.orderBy(F.desc("score"), "doc_id", "n").limit(max(1, min(100, top_k))).select("doc_id", "n", "score", "chunk")
 
 
 def vectorise(rows: DataFrame, text: str, size: int = 4096) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholarium.functions import scores
 from scholarium.functions import text as tx
 from scholarium.operators import documents as docs_
 from scholarium.operators import graph, layout, matching, papers, responses, reviews, search
@@ -231,7 +232,20 @@ def strip_refs(spark, sf_dir):
     return _articles(spark, sf_dir).select("doc_id", docs_.strip_references(F.col("text")).alias("text"))
 
 
-@query()
+_CHUNKS = _ARTICLES.split("p AS (SELECT doc_id, pos")[0] + r"""
+s AS (SELECT doc_id, text, regexp_extract(text, '(?i)^([\s\S]*?)(?:(?m:^\s*#{0,4}\s*(?:references|reference|bibliography|literature\s+cited)\s*$)|(?m:^\s*#{1,4}\s*supporting\s+information\s*$))', 1) AS b FROM a),
+u AS (SELECT doc_id, CASE WHEN length(t) < length(text) * 0.2 THEN text ELSE t END AS t FROM (SELECT doc_id, text, regexp_replace(CASE WHEN b = '' THEN text ELSE b END, '^\s+|\s+$', '', 'g') AS t FROM s)),
+l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM u),
+o AS (SELECT doc_id, list_reduce(list_transform(l, lambda x: {'done': [''], 'cur': x}), lambda a, x: CASE
+    WHEN length(a.cur) + length(x.cur) < 800 THEN {'done': a.done, 'cur': CASE WHEN a.cur = '' THEN x.cur ELSE a.cur || chr(10) || x.cur END}
+    WHEN length(x.cur) > 800 THEN {'done': list_concat(list_append(a.done, a.cur), list_transform(range(0, length(x.cur), 800), lambda i: substr(x.cur, i + 1, 800))), 'cur': ''}
+    ELSE {'done': list_append(a.done, a.cur), 'cur': x.cur} END, {'done': [''], 'cur': ''}) AS r FROM l WHERE len(l) > 0),
+c AS (SELECT doc_id, list_filter(list_append(r.done, r.cur), lambda x: x <> '') AS c FROM o),
+chunked AS (SELECT doc_id, n::INT AS n, list_extract(c, n + 1) AS chunk FROM (SELECT doc_id, c, unnest(range(0, len(c))) AS n FROM c))
+"""
+
+
+@query(_CHUNKS + "SELECT doc_id, n, chunk FROM chunked")
 def chunks(spark, sf_dir):
     return docs_.chunk_rows(_articles(spark, sf_dir))
 
@@ -338,7 +352,7 @@ def review_stats(spark, sf_dir):
 @query("""
 WITH r AS (SELECT doc_id, toxic, n_chars, lang FROM labels JOIN documents USING (doc_id)),
 x AS (SELECT doc_id, 'mechanism_wrong' AS reason FROM r WHERE toxic = 1 UNION ALL SELECT doc_id, 'missing_data' FROM r WHERE n_chars < 500 UNION ALL SELECT doc_id, 'too_vague' FROM r WHERE lang = 'en')
-SELECT reason, count(*) AS n, min(doc_id) AS first_pos FROM x GROUP BY reason
+SELECT reason, CASE reason """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reviews.REASONS.items()) + """ END AS label, count(*) AS n, min(doc_id) AS first_pos FROM x GROUP BY reason
 """)
 def reason_counts(spark, sf_dir):
     return reviews.reason_counts(_reviews(spark, sf_dir))
@@ -438,9 +452,15 @@ def search_totals(spark, sf_dir):
     return papers.search_totals(found, papers.dedupe_best(papers.without_supplements(found)))
 
 
-@query()
+@query(_CHUNKS + r"""
+, t AS (SELECT doc_id, n AS i, chunk, list_filter(regexp_split_to_array(lower(chunk), '[^a-z0-9]+'), lambda w: w <> '') AS t FROM chunked),
+f AS (SELECT *, len(t) AS l, len(list_filter(t, lambda x: x = 'inor')) AS tf0, len(list_filter(t, lambda x: x = 'that')) AS tf1, len(list_filter(t, lambda x: x = 'tion')) AS tf2 FROM t),
+z AS (SELECT count(*) AS n, avg(l) AS mean, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1, count(*) FILTER (tf2 > 0) AS df2 FROM f),
+b2 AS (SELECT doc_id, i, chunk, """ + " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * l / mean))" for i in range(3)) + r""" AS score FROM f, z)
+SELECT doc_id, i AS n, round(score, 6) AS score, chunk FROM b2 WHERE score > 0 ORDER BY b2.score DESC, doc_id, i LIMIT 10
+""")
 def evidence_topk(spark, sf_dir):
-    return search.ask_evidence(docs_.chunk_rows(_articles(spark, sf_dir)), _TEXT_QUERY, 10)
+    return search.ask_evidence(docs_.chunk_rows(_articles(spark, sf_dir)), _TEXT_QUERY, 10).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN NULL ELSE n_chars // 2 END AS \"offset\", CASE WHEN n_chars % 3 = 0 THEN text ELSE substr(text, n_chars // 2 + 1, 4000) END AS content FROM documents")
@@ -523,10 +543,18 @@ WITH d AS (SELECT doc_id AS pos, lang, n_chars, text, regexp_replace(lower(text)
 SELECT pos, length(t) AS key_chars, least(1.0, sqrt(n_chars % 400) / 20.0) AS influence FROM d
 """)
 def influence(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.length(tx.title_key(F.col("text"))).alias("key_chars"), F.least(F.lit(1.0), F.sqrt((F.col("n_chars") % 400).cast("double")) / 20.0).alias("influence"))
+    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.length(tx.title_key(F.col("text"))).alias("key_chars"), scores.influence(F.col("n_chars") % 400).alias("influence"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT doc_id AS pos, text AS title, CASE lang WHEN 'fr' THEN 'Figshare' WHEN 'de' THEN '' ELSE lang END AS venue, n_chars % 97 AS citations, source AS doi, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS full_key FROM documents),
+g AS (SELECT *, CASE WHEN full_key = '' THEN '#' || pos ELSE substr(full_key, 1, 120) END AS key FROM p),
+r AS (SELECT *, min(pos) OVER (PARTITION BY key) AS first_pos, row_number() OVER (PARTITION BY key ORDER BY (venue NOT IN ('', 'Figshare')) DESC, citations DESC, length(doi), pos) AS n FROM g),
+lib AS (SELECT full_key FROM p WHERE doi IN ('src0', 'src1') AND full_key <> ''),
+m AS (SELECT first_pos AS pos, CASE WHEN full_key IN (SELECT full_key FROM lib) THEN 'have' ELSE 'new' END AS status, citations, 1990 + first_pos % 36 AS year FROM r WHERE n = 1),
+s AS (SELECT pos, status, round_even(0.6 * 0.5 + 0.25 * least(1.0, sqrt(citations) / 20.0) + 0.15 * greatest(0.0, least(1.0, 1 - (2026 - year) / 15.0)) - CASE WHEN status = 'have' THEN 1.0 ELSE 0.0 END, 4) AS score FROM m)
+SELECT row_number() OVER (ORDER BY score DESC, pos)::INT AS n, pos, status, score FROM s ORDER BY score DESC, pos LIMIT 20
+""")
 def topic_search_ranked(spark, sf_dir):
     """The flagship: documents as papers, one record a title, matched with a library, ranked, the best 20."""
     documents = _read(spark, sf_dir, "documents")
@@ -534,3 +562,131 @@ def topic_search_ranked(spark, sf_dir):
     library = documents.where(F.col("source").isin("src0", "src1")).select(F.col("text").alias("title"), F.lit("").alias("doi"))
     done = papers.ranked(matching.exact_match(best, library), YEAR_NOW)
     return papers.top(done, 20, F.desc("score"), F.col("pos")).select("n", "pos", "status", "score")
+
+
+@query(r"""
+WITH h AS (SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN '<img src="x"><p>12.5 MPa and 3 h 导读</p>' ELSE '' END AS html FROM pages),
+b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<img[^>]*>', '', 'g'), '<style[\s\S]*?</style>', '', 'g'), '<script[\s\S]*?</script>', '', 'g'), '<[^>]+>', ' ', 'g') AS body FROM h)
+SELECT page_id::VARCHAR AS path, length(regexp_replace(body, '\s+', '', 'g'))::INT AS chars, ((length(html) - length(replace(html, '<img', ''))) // 4)::INT AS figures,
+    len(regexp_extract_all(body, '\d+(?:\.\d+)?\s*(?:%|nm|μm|um|mm|cm|kPa|MPa|GPa|Pa·s|°C|℃|K|g/mol|kJ|mol|wt%|s⁻¹|Hz|min|h)\b'))::INT AS numbers, contains(body, '导读')::INT AS sections,
+    round_even(strlen(html) / 1024.0, 0)::INT AS size_kb, '2024-' || lpad((1 + page_id % 12)::VARCHAR, 2, '0') || '-' || lpad((1 + page_id % 28)::VARCHAR, 2, '0') || ' 12:' || lpad((page_id % 60)::VARCHAR, 2, '0') AS mtime
+FROM b
+""")
+def report_table(spark, sf_dir):
+    """Every report page with all six metrics; a page's size is that of its text, its time is made of its id."""
+    page, key = F.concat("html", F.when(F.col("page_id") % 3 == 0, '<img src="x"><p>12.5 MPa and 3 h 导读</p>').otherwise("")), F.col("page_id")
+    modified = F.make_timestamp(F.lit(2024), 1 + key % 12, 1 + key % 28, F.lit(12), key % 60, F.lit(30))
+    reports = _read(spark, sf_dir, "pages").select(key.cast("string").alias("path"), page.alias("html"), F.octet_length(page).alias("size"), modified.alias("modified"))
+    return reviews.report_snapshots(reports).select("path", "snapshot.*")
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS t FROM documents WHERE 1990 + doc_id % 36 >= 2005),
+f AS (SELECT *, len(t) AS l, len(list_filter(t, lambda x: x = 'inor')) AS tf0, len(list_filter(t, lambda x: x = 'that')) AS tf1, len(list_filter(t, lambda x: x = 'tion')) AS tf2 FROM t),
+s AS (SELECT count(*) AS n, avg(l) AS mean, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1, count(*) FILTER (tf2 > 0) AS df2 FROM f),
+b AS (SELECT doc_id, text AS chunk, """ + " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * l / mean))" for i in range(3)) + r""" AS score FROM f, s)
+SELECT doc_id, round(score, 6) AS score, chunk FROM b WHERE score > 0 ORDER BY b.score DESC, doc_id LIMIT 20
+""")
+def evidence_from_year(spark, sf_dir):
+    """The best 20 texts for a question among documents from 2005 on."""
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("n"), F.col("text").alias("chunk"), (F.lit(1990) + F.col("doc_id") % 36).alias("year"))
+    return search.ask_evidence(rows, _TEXT_QUERY, 20, 2005).select("doc_id", F.round("score", 6).alias("score"), "chunk")
+
+
+@query("""
+WITH d AS (SELECT p_partkey, p_name AS title, CASE WHEN p_size % 3 = 0 THEN '10.1/P' || p_partkey ELSE '' END AS doi FROM part),
+lib AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '10.1/p' || p_partkey ELSE ' 10.1/p' || p_partkey END AS doi, CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) || '!' ELSE '' END AS title FROM part WHERE p_size < 25)
+SELECT p_partkey, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') IN (SELECT regexp_replace(lower(title), '[^a-z0-9]', '', 'g') FROM lib WHERE title <> '') OR (doi <> '' AND lower(doi) IN (SELECT lower(doi) FROM lib)) AS in_library FROM d
+""")
+def discovery_in_library(spark, sf_dir):
+    """Discovery rows, flagged by title or by a DOI that is not stripped."""
+    part, key = _read(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    rows = part.select("p_partkey", F.col("p_name").alias("title"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("10.1/P"), key)).otherwise("").alias("doi"))
+    library = part.where("p_size < 25").select(F.concat(F.when(F.col("p_partkey") % 4 == 0, "10.1/p").otherwise(" 10.1/p"), key).alias("doi"), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.upper("p_name"), F.lit("!"))).otherwise("").alias("title"))
+    return matching.in_library(rows, library).select("p_partkey", "in_library")
+
+
+@query("""
+WITH c AS (SELECT o_custkey AS item, o_orderkey AS ord, 'K' || o_orderkey AS att_key, CASE WHEN o_orderkey % 7 = 0 THEN 'note' ELSE 'attachment' END AS item_type, CASE WHEN o_orderkey % 5 = 0 THEN 'text/html' ELSE 'application/pdf' END AS content_type, o_orderpriority AS title FROM orders),
+f AS (SELECT 'K' || o_orderkey AS att_key, 'store/K' || o_orderkey || '/' || n || CASE WHEN o_orderkey % 3 = 0 THEN '.txt' ELSE '.PDF' END AS path, o_orderkey % 1000 + n AS size FROM orders, range(0, 2) AS t(n) WHERE o_orderkey % 11 <> 0)
+SELECT item, (row_number() OVER (PARTITION BY item ORDER BY ord, path) - 1)::INT AS pos, path, c.att_key, title, size FROM c JOIN f ON c.att_key = f.att_key WHERE item_type = 'attachment' AND content_type = 'application/pdf' AND lower(path) LIKE '%.pdf'
+""")
+def attachment_files(spark, sf_dir):
+    """Items, their attachments (some notes, some pages) and the files of these (some no PDF, some missing)."""
+    orders, key = _read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    att = F.concat(F.lit("K"), key.cast("string"))
+    children = orders.select(F.col("o_custkey").alias("item"), key.alias("ord"), att.alias("att_key"), F.when(key % 7 == 0, "note").otherwise("attachment").alias("item_type"), F.when(key % 5 == 0, "text/html").otherwise("application/pdf").alias("content_type"), F.col("o_orderpriority").alias("title"))
+    files = orders.where(key % 11 != 0).select(att.alias("att_key"), key, F.explode(F.array(F.lit(0), F.lit(1))).alias("n")).select("att_key", F.concat(F.lit("store/"), "att_key", F.lit("/"), F.col("n").cast("string"), F.when(key % 3 == 0, ".txt").otherwise(".PDF")).alias("path"), (key % 1000 + F.col("n")).alias("size"))
+    return layout.attachment_candidates(children, files)
+
+
+@query(_FIGURES.replace("c AS (SELECT doc, arg_min(cap, ord) AS cap FROM b WHERE NOT vis GROUP BY doc)", "c AS (SELECT doc, arg_min(CASE WHEN vis THEN 'Fig. ' || ord || ' inner' ELSE cap END, ord) AS cap FROM b WHERE NOT vis OR ord % 2 = 0 GROUP BY doc)") + "SELECT doc, CASE WHEN gi = 0 THEN coalesce(cap, '') ELSE '' END AS caption, row_number() OVER (PARTITION BY doc ORDER BY gi)::INT AS num FROM m LEFT JOIN c USING (doc) WHERE (x1 - x0) * (y1 - y0) >= 8000")
+def figure_captions(spark, sf_dir):
+    """Images that hold their caption in an inner block, after an inner block with other text."""
+    y0, seen, number = F.col("l_linenumber") * 120.0 + F.col("l_quantity"), (F.col("l_returnflag") != "N") | (F.col("l_linenumber") % 2 == 0), F.col("l_linenumber").cast("string")
+    lines = lambda text: F.array(F.struct(F.array(F.struct(text.alias("content"))).alias("spans")))
+    box = F.array(F.lit(10.0), y0, F.col("l_quantity") * 8.0 + 10, y0 + 80.0)
+    inner = lambda kind, text: F.struct(F.lit(kind).alias("type"), box.alias("bbox"), lines(text).alias("lines"))
+    blocks = F.when(seen & (F.col("l_linenumber") % 2 == 0), F.array(inner("image_body", F.lit("x")), inner("image_caption", F.concat(F.lit("Fig. "), number, F.lit(" inner")))))
+    own = F.when(~seen, lines(F.concat(F.lit("Figure "), number)))
+    block = F.struct(F.when(seen, "image").otherwise("text").alias("type"), box.alias("bbox"), own.alias("lines"), blocks.alias("blocks"))
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit(0).alias("page_idx"), F.lit(600.0).alias("page_w"), F.lit(1000.0).alias("page_h"), F.col("l_linenumber").alias("ord"), block.alias("block"))
+    return layout.figure_boxes(layout.flat_blocks(rows)).select("doc", "caption", "num")
+
+
+@query(_GRAPH + ", r AS (SELECT citing AS id, cited AS other, row_number() OVER (PARTITION BY citing ORDER BY cited) AS n, count(*) OVER (PARTITION BY citing) AS total FROM pairs) SELECT id, other, total, ceil(total / 5.0)::BIGINT AS pages FROM r WHERE n BETWEEN 1 AND 5")
+def relations_references(spark, sf_dir):
+    return graph.relations(_graph(spark, sf_dir)[1], "REFERENCES", 1, 5).select("id", "other", "total", "pages")
+
+
+@query("""
+WITH p AS (SELECT DISTINCT l_partkey AS id, l_suppkey AS other FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY other) AS n, count(*) OVER (PARTITION BY id) AS total FROM p)
+SELECT id, other, total, ceil(total / 3.0)::BIGINT AS pages FROM r WHERE n BETWEEN 4 AND 6
+""")
+def relations_related(spark, sf_dir):
+    """Related works come from a table of their own."""
+    related = _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("other"))
+    return graph.relations(_graph(spark, sf_dir)[1], "RELATED_WORKS", 2, 3, related).select("id", "other", "total", "pages")
+
+
+_SEARCH = r"""
+WITH f AS (SELECT *, len(t) AS l, len(list_filter(t, lambda x: x = 'inor')) AS tf0, len(list_filter(t, lambda x: x = 'that')) AS tf1, len(list_filter(t, lambda x: x = 'tion')) AS tf2 FROM (
+    SELECT doc_id AS pos, text AS title, CASE lang WHEN 'fr' THEN 'Figshare' WHEN 'de' THEN '' ELSE lang END AS venue, n_chars % 97 AS citations, source AS doi, 1990 + doc_id % 36 AS year, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS t FROM documents)),
+s AS (SELECT count(*) AS n, avg(l) AS mean, max(year) AS newest, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1, count(*) FILTER (tf2 > 0) AS df2 FROM f),
+b AS (SELECT pos, title, venue, citations, doi, year, newest, """ + " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * l / mean))" for i in range(3)) + r""" AS score FROM f, s),
+k AS (SELECT *, {boost} AS boosted, substr(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 1, 120) AS t FROM b WHERE score > 0 AND NOT (venue = 'Figshare' AND citations = 0)),
+r AS (SELECT *, CASE WHEN t = '' THEN '#' || pos ELSE t END AS key, row_number() OVER (ORDER BY boosted DESC, pos) AS place FROM k),
+g AS (SELECT *, min(place) OVER (PARTITION BY key) AS first_place, row_number() OVER (PARTITION BY key ORDER BY (venue NOT IN ('', 'Figshare')) DESC, citations DESC, length(doi), place) AS n FROM r)
+SELECT pos, round(boosted, 6) AS score FROM (SELECT * FROM g WHERE n = 1 ORDER BY first_place LIMIT 30)
+"""
+
+
+def _searched(spark: SparkSession, sf_dir: str, prefer: str) -> DataFrame:
+    rows = _papers(_read(spark, sf_dir, "documents")).withColumns({"abstract": F.lit(None).cast("string"), "year": F.lit(1990) + F.col("pos") % 36})
+    return search.search_papers(rows, _TEXT_QUERY, 30, prefer).select("pos", F.round("score", 6).alias("score"))
+
+
+@query(_SEARCH.replace("{boost}", "score"))
+def search_relevance(spark, sf_dir):
+    return _searched(spark, sf_dir, "relevance")
+
+
+@query(_SEARCH.replace("{boost}", "score * (1 + ln(1 + citations) / 10)"))
+def search_impact(spark, sf_dir):
+    return _searched(spark, sf_dir, "impact")
+
+
+@query(_SEARCH.replace("{boost}", "score * exp(-(newest - year) / 15.0)"))
+def search_fresh(spark, sf_dir):
+    return _searched(spark, sf_dir, "fresh")
+
+
+@query("""
+WITH v AS (SELECT vec_id AS pos, label, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS sim FROM embeddings WHERE vec_id % 20 = 0)
+SELECT pos, 'new' AS status, 1.0::DOUBLE AS lib_sim, round_even(sim, 3) + 0.0 AS topic_sim, round_even(sqrt(greatest(sim, 0.0)), 3) + 0.0 AS relevance FROM v
+""")
+def match_with_topic(spark, sf_dir):
+    """A search matched with the collection and a topic: relevance is the geometric mean of both similarities."""
+    rows = _vectors(spark, sf_dir).withColumns({"title": F.concat(F.lit("On the motion of body "), F.col("id").cast("string")), "doi": F.lit("")})
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("pos"), F.lit("Quite another subject").alias("title"), "doi", F.transform("vec", lambda x: x * 1.01).alias("vec"))
+    return matching.match_many(asked, rows, rows, rows.where("id = 0").select("vec")).select("pos", "status", "lib_sim", "topic_sim", "relevance")

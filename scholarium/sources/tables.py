@@ -40,6 +40,16 @@ def discovered_papers(raw: DataFrame) -> DataFrame:
     )
 
 
+def hits(spark: SparkSession, path: str) -> DataFrame:
+    """Search-hit JSON (one object a line), with the schema given."""
+    return spark.read.schema(schemas.HIT).json(path)
+
+
+def evidence_json(spark: SparkSession, path: str) -> DataFrame:
+    """Evidence-hit JSON (one object a line), with the schema given."""
+    return spark.read.schema(schemas.EVIDENCE).json(path)
+
+
 def hit_papers(raw: DataFrame) -> DataFrame:
     """Search hits as paper rows."""
     doi = tx.text_or_empty(F.col("doi"))
@@ -103,5 +113,5 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_results(df: DataFrame, path: str) -> None:
-    """Ranked, numbered results (n) as JSON lines in order."""
-    df.orderBy("n").coalesce(1).write.mode("overwrite").json(path)
+    """Ranked, numbered results (n) as JSON lines in order: within each file, and from file to file by name."""
+    df.orderBy("n").write.mode("overwrite").json(path)

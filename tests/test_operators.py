@@ -1,9 +1,10 @@
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from scholarium.operators import documents, graph, layout, matching, papers, responses, reviews
+from scholarium.operators import documents, graph, layout, matching, papers, responses, reviews, search
 from scholarium.sources import tables
 
 PAPER = "pos long, title string, venue string, citations int, doi string"
@@ -28,14 +29,6 @@ def test_exact_match(spark):
     assert [r.status for r in matching.exact_match(asked, library).orderBy("pos").collect()] == ["have", "have", "new", "new"]
 
 
-def test_nearest_by_hashing_finds_what_the_scan_finds(spark):
-    vectors = spark.range(200).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(i * F.col("id") * 1.7)).alias("vec"))
-    asked = vectors.where("id < 20").select(F.col("id").alias("pos"), "vec")
-    scan = {r.pos: r.id for r in matching.nearest(asked, vectors, 1).collect()}
-    hashed = {r.pos: r.id for r in matching.nearest(asked, vectors, 1, most_broadcast=0).collect()}
-    assert sum(scan[p] == hashed.get(p) for p in scan) >= 18
-
-
 def test_nearest_in_blocks_is_exact(spark):
     """Also where all of the n nearest, or some, point away from the candidate."""
     vectors = spark.range(60).select("id", F.when(F.col("id") < 40, F.array(F.lit(1.0), F.col("id") / 40, F.lit(0.1))).otherwise(F.array(F.lit(-1.0), F.col("id") / 90, F.lit(0.0))).alias("vec"))
@@ -45,7 +38,7 @@ def test_nearest_in_blocks_is_exact(spark):
     assert len(scan) == 20 * 45 and min(r[3] for r in scan) < 0
     assert rows(7) == rows(0) == scan
     plan = matching.nearest(asked, vectors, 3, 7)._jdf.queryExecution().toString()
-    assert "CartesianProduct" in plan and "WindowGroupLimit" in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "WindowGroupLimit" in plan
 
 
 def test_snowball(spark):
@@ -143,3 +136,70 @@ def test_sources(spark, tmp_path):
     tables.write_table(spark.range(3), str(tmp_path / "t"))
     tables.write_table(spark.range(2), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_readers_and_sinks(spark, tmp_path):
+    hit = {"title": "A\\nB ", "doi": None, "publication_published_year": "2021.0", "citation_count": "12", "is_oa": "True", "author": [{"name": f"a{i}"} for i in range(8)], "doc_id": "d"}
+    (tmp_path / "hits.json").write_text(json.dumps(hit))
+    paper = tables.hit_papers(tables.hits(spark, str(tmp_path / "hits.json"))).first()
+    assert (paper.title, paper.doi, paper.year, paper.citations, paper.is_oa, len(paper.authors), paper.venue) == ("A B", "", 2021, 12, True, 6, "")
+    (tmp_path / "evidence.json").write_text(json.dumps({"title": "t", "chunk": "![](x.jpg)text  ", "score": 0.12345, "page_no": 3, "publication_published_year": "2020", "offset": 7, "doc_id": "d"}))
+    chunk = tables.evidence(tables.evidence_json(spark, str(tmp_path / "evidence.json"))).first()
+    assert (chunk.chunk, chunk.score, chunk.page, chunk.year, chunk.citations, chunk.offset) == ("text", 0.123, 3, 2020, 0, 7)
+    store = {"K1": {"verdict": "good", "reasons": ["too_vague"], "note": "n", "title": "t", "snapshot": {"chars": 5, "figures": 1, "numbers": 2, "sections": 3, "size_kb": 4, "mtime": "2024-01-01 10:00"}, "rated_at": "2024-01-02 10:00"}, "K2": {"verdict": "bad", "reasons": [], "snapshot": None}}
+    (tmp_path / "store.json").write_text(json.dumps(store))
+    got = {r.key: r for r in tables.reviews(spark, str(tmp_path / "store.json")).collect()}
+    assert got["K1"].snapshot.size_kb == 4 and got["K1"].reasons == ["too_vague"] and got["K2"].snapshot is None
+    (tmp_path / "broken.json").write_text('{"K1": {"verdict":')
+    assert tables.reviews(spark, str(tmp_path / "broken.json")).count() == 0
+    numbered = spark.range(30).select((30 - F.col("id")).alias("n"), F.lit("x").alias("title")).repartition(3)
+    tables.write_results(numbered, str(tmp_path / "out"))
+    lines = [json.loads(x)["n"] for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines == list(range(1, 31))
+    (tmp_path / "page.html").write_text("<style>p{}</style><p>12 nm</p><img src=x>" + "导读" * 500)
+    row = reviews.report_snapshots(tables.reports(spark, str(tmp_path / "page.html"))).first().snapshot
+    assert (row.numbers, row.figures, row.sections, row.size_kb) == (1, 1, 1, 3) and len(row.mtime) == 16
+
+
+def test_layout_json(spark, tmp_path):
+    span = lambda t: [{"spans": [{"content": t}]}]
+    blocks = [{"type": "title", "bbox": [0, 0, 9, 9], "lines": span("Results")}, {"type": "image", "bbox": [10, 100, 400, 300], "blocks": [{"type": "image_body", "bbox": [0, 0, 1, 1], "lines": span("axis")}, {"type": "image_caption", "bbox": [0, 0, 1, 1], "lines": span("Fig. 2 inner")}]}]
+    (tmp_path / "layout.json").write_text(json.dumps({"pdf_info": [{"page_idx": 0, "page_size": [600, 800], "para_blocks": blocks}]}))
+    flat = layout.flat_blocks(tables.layout_blocks(spark, str(tmp_path / "layout.json")))
+    assert [(r.type, r.text, r.caption, r.page_w) for r in flat.orderBy("ord").collect()] == [("title", "Results", None, 600.0), ("image", "axisFig. 2 inner", "Fig. 2 inner", 600.0)]
+    assert [(r.caption, r.x0, r.num) for r in layout.figure_boxes(flat).collect()] == [("Fig. 2 inner", 10.0, 1)]
+
+
+def test_attachments_of_items(spark):
+    children = spark.createDataFrame([("i", 0, "K1", "attachment", "application/pdf", "SI"), ("i", 1, "K2", "attachment", "application/pdf", "Full Text PDF"), ("i", 2, "K3", "note", None, ""), ("j", 0, "K4", "attachment", "text/html", "x"), ("j", 1, "K5", "attachment", "application/pdf", "x")], "item string, ord int, att_key string, item_type string, content_type string, title string")
+    files = spark.createDataFrame([("s/K1/si.pdf", 900, "K1"), ("s/K2/b.PDF", 10, "K2"), ("s/K2/a.txt", 99, "K2"), ("s/K3/c.pdf", 5, "K3"), ("s/K4/d.pdf", 5, "K4")], "path string, size long, att_key string")
+    found = layout.attachment_candidates(children, files)
+    assert sorted((r.item, r.pos, r.path) for r in found.collect()) == [("i", 0, "s/K1/si.pdf"), ("i", 1, "s/K2/b.PDF")]
+    assert [(r.item, r.path) for r in layout.best_attachment(found).collect()] == [("i", "s/K2/b.PDF")]
+
+
+def test_discoveries_in_the_library(spark):
+    library = spark.createDataFrame([("Known Work", "10.1/A"), ("", " 10.1/b"), (None, None)], "title string, doi string")
+    rows = spark.createDataFrame([(0, "known-work", ""), (1, "x", "10.1/a"), (2, "y", "10.1/B"), (3, "", ""), (4, None, None)], "pos int, title string, doi string")
+    assert [r.in_library for r in matching.in_library(rows, library).orderBy("pos").collect()] == [True, True, False, False, False]
+
+
+def test_labels_of_reasons(spark):
+    rows = spark.createDataFrame([("a", 0, "bad", ["too_vague", "own"], None, "1")], REVIEW)
+    assert [(r.reason, r.label) for r in reviews.reason_counts(rows).collect()] == [("too_vague", reviews.REASONS["too_vague"]), ("own", "own")]
+
+
+def test_evidence_of_later_years(spark):
+    chunks = spark.createDataFrame([("a", 0, "gel creep gel", 2001), ("b", 0, "gel", 2010), ("c", 0, "none", 2012), ("d", 1, "gel gel gel", None)], "doc_id string, n int, chunk string, year int")
+    assert [r.doc_id for r in search.ask_evidence(chunks, "gel", 5, 2005).collect()] == ["b"]
+    assert {r.doc_id for r in search.ask_evidence(chunks, "gel", 5).collect()} == {"a", "b", "d"}
+
+
+def test_tfidf_vectors_by_their_definition(spark):
+    texts = ["gel creep gel", "gel", "salt water salt", ""]
+    rows = search.vectorise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "text", 4096).orderBy("doc_id").collect()
+    df = {w: sum(w in t.split() for t in texts) for t in texts for w in t.split()}
+    for row, text in zip(rows, texts, strict=True):
+        weights = sorted(text.split().count(w) * math.log((len(texts) + 1) / (df[w] + 1)) for w in set(text.split()))
+        norm = math.sqrt(sum(w * w for w in weights)) or 1.0
+        assert [round(w / norm, 5) for w in weights if w] == [round(v, 5) for v in sorted(v for v in row.vec if v)]
