@@ -72,7 +72,8 @@ def _bands(windows: DataFrame, key: str, words_: str, wanted: dict[int, list[int
     hashed = windows.select(key, *[F.when(F.size(w) >= i + K, F.xxhash64(*[F.get(w, F.lit(i + j)) for j in range(K)])).alias(f"s{i}") for i in range(WINDOW)])
     rest = [F.col(f"s{i}") for i in range(WINDOW)]
     least = hashed.select(key, F.filter(F.array(*rest), lambda s: s.isNotNull()).alias("_shingles"), *[F.least(*[F.when(s.isNotNull(), F.xxhash64(s, F.lit(b))) for s in rest]).alias(f"b{b}") for b in range(BANDS)])
-    known = F.lit(True) if wanted is None else reduce(lambda x, y: x | y, [F.col(f"b{b}").isin(v) for b, v in sorted(wanted.items())], F.lit(False))
+    listed = lambda b, v: F.expr(f"b{b} IN ({', '.join(f'{x}L' if x > -(1 << 63) else 'long(-9223372036854775808)' for x in v)})")
+    known = F.lit(True) if wanted is None else reduce(lambda x, y: x | y, [listed(b, v) for b, v in sorted(wanted.items())], F.lit(False))
     bands = F.when((F.size("_shingles") > 0) & known, F.transform(F.array(*[F.col(f"b{b}") for b in range(BANDS)]), lambda m, b: F.struct(b.alias("band"), m.alias("least"))))
     return least.select(key, bands.alias("_bands")).select(key, F.explode_outer("_bands").alias("_b")).where("_b is not null").select(key, "_b.band", "_b.least")
 
