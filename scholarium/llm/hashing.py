@@ -145,13 +145,11 @@ def _words(data: np.ndarray, at: np.ndarray, alphabet: np.ndarray) -> tuple[np.n
     return hashes(low, first, end - first), first, end, doc
 
 
-def exact_words(data: np.ndarray, at: np.ndarray, h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A number for each word that only equal words share: fingerprints are compared with the bytes that they stand for."""
-    low = LOWER[data[at[0] : at[-1]]]
-    size = end - first
+def exact_slices(data: np.ndarray, h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A number for each slice that only equal slices share: fingerprints are compared with the bytes that they stand for."""
     _, index, number = np.unique(h, return_index=True, return_inverse=True)
-    same = index[number]  # a word of the same fingerprint
-    equal, lanes = size == size[same], eights(_padded(low, 8))
+    same = index[number]  # a slice of the same fingerprint
+    equal, lanes = size == size[same], eights(_padded(data, 8))
     for place in range(0, LONG, 8):
         rows = np.flatnonzero(equal & (size > place) & (size <= LONG))
         if not len(rows):
@@ -159,11 +157,16 @@ def exact_words(data: np.ndarray, at: np.ndarray, h: np.ndarray, first: np.ndarr
         part = _FIRST[np.minimum(size[rows] - place, 8)]
         equal[rows] = (lanes[first[rows] + place] & part) == (lanes[first[same[rows]] + place] & part)
     for i in np.flatnonzero(equal & (size > LONG)).tolist():
-        equal[i] = np.array_equal(low[first[i] : end[i]], low[first[same[i]] : end[same[i]]])
+        equal[i] = np.array_equal(data[first[i] : first[i] + size[i]], data[first[same[i]] : first[same[i]] + size[i]])
     if equal.all():
         return number
     known: dict[bytes, int] = {}
-    return np.array([known.setdefault(low[a:b].tobytes(), len(known)) for a, b in zip(first.tolist(), end.tolist(), strict=True)], np.int64)
+    return np.array([known.setdefault(data[a : a + n].tobytes(), len(known)) for a, n in zip(first.tolist(), size.tolist(), strict=True)], np.int64)
+
+
+def exact_words(data: np.ndarray, at: np.ndarray, h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each word that only equal words share."""
+    return exact_slices(LOWER[data[at[0] : at[-1]]], h, first, end - first)
 
 
 def slices(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -1,20 +1,20 @@
 """Exact removal of repeated byte strings, by bucket-pointer refinement spread over the cluster.
 
-Suffixes are put into buckets of their first Q bytes, and buckets that hold one document only are done. The others are
-refined by the buckets that the same suffixes have at later offsets, until LENGTH bytes are told apart. A bucket's name
-is the fingerprint of its string, so the bucket at a later offset is computed where the text lies and needs no lookup.
+Suffixes are put into buckets of their first bytes, and buckets that hold one document only are done. The others are refined
+by sorting on the identifiers of the buckets that the same suffixes have at a later offset, which gives new identifiers; with
+these the step doubles, until LENGTH bytes are told apart. Identifiers are integers, and equal only for equal bytes.
 
 1. Of each LENGTH-byte window only the suffix with the smallest Q-gram fingerprint (its leftmost minimum) is taken; equal
    windows choose equal suffixes, so one suffix in about LENGTH/4 is enough. Four bytes of each travel once, to find the
-   buckets of several documents; a bit map of these, of bounded size, goes to the executors. It may name a bucket too
+   Q-gram buckets of several documents; a bit map of these, of bounded size, goes to the executors. It may name a bucket too
    many, which costs time only.
-2. A run of windows that chose one suffix is a block. Blocks in such buckets are refined by all of their bytes: a block
-   that an earlier document has too is removed whole, and its windows need no further look.
-3. What is left in a bucket with several different blocks is refined window by window, by the buckets at the offsets Q
-   and LENGTH - Q of the window.
+2. A run of windows that chose one suffix is a block. Blocks in such buckets meet, with their bytes, in the task of their
+   bucket. A block that an earlier document has too is removed whole. Where a bucket holds different blocks, all suffixes of
+   these blocks are refined, and the windows that an earlier document has are removed.
+3. A bucket of very many different blocks (a passage that a third of all documents share begins there) is not gathered: its
+   windows are dealt one by one, by their own bytes.
 
-A bucket that a third of all documents share is first looked at batch by batch, and what a batch can tell by itself does
-not travel to one place: at most one message and one note a batch do.
+What a batch can tell by itself does not travel to one place: at most one message a batch does of equal blocks or windows.
 """
 
 from __future__ import annotations
@@ -35,9 +35,13 @@ Q = 24
 #: Bytes of the bit map at most.
 MAP_BYTES = 64 << 20
 _LOW = 20
+#: Different blocks of a bucket in one batch above which its windows are dealt one by one.
+SPREAD = 16
+#: Bytes of blocks that are refined at a time (a bucket is not divided).
+REFINED = 1 << 19
 _NOTES = "bucket int, single binary, several binary"
-_WINDOWS = "bucket int, hash binary, check binary, doc_id binary, first binary, own_doc_id binary, own_first binary"
-_MESSAGES = "bucket int, key binary, block binary, doc_id binary, at binary, lone binary, noted binary, own_doc_id binary, own_at binary"
+_WINDOWS = "bucket int, hash binary, text binary, doc_id binary, first binary, own_doc_id binary, own_first binary"
+_MESSAGES = "bucket int, key binary, block binary, doc_id binary, at binary, lone binary, text binary, noted binary, own_doc_id binary, own_at binary"
 
 
 class _Run:
@@ -78,13 +82,19 @@ def _runs(data: np.ndarray, at: np.ndarray, length: int, q: int) -> Iterator[tup
             yield a, _Run(data, np.array([low, min(low + H.RUN_BYTES + length - 1, int(at[b]))]), length, q, low - int(at[a]))
 
 
-def _packed(parts: dict[str, tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
-    """A row for each bucket in use; parts: by column, the bucket of each value and the values."""
+def _gather(text: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of slices, one after another."""
+    return text[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+def _packed(parts: dict[str, tuple], buckets: int) -> pa.RecordBatch:
+    """A row for each bucket in use; parts: by column, the bucket of each value and the values, or a text with the first
+    byte and size of each value's slice."""
     out = {}
-    for name, (where, values) in parts.items():
+    for name, (where, *values) in parts.items():
         order = np.argsort(where, kind="stable")
-        cuts = np.cumsum(np.bincount(where, minlength=buckets))[:-1]
-        out[name] = [x.tobytes() for x in np.split(values[order], cuts)]
+        rows = np.split(order, np.cumsum(np.bincount(where, minlength=buckets))[:-1])
+        out[name] = [(values[0][r] if len(values) == 1 else _gather(values[0], values[1][r], values[2][r])).tobytes() for r in rows]
     used = [i for i in range(buckets) if any(x[i] for x in out.values())]
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array([x[i] for i in used], pa.binary()) for x in out.values())], names=["bucket", *out])
 
@@ -129,18 +139,66 @@ class _Map:
         return found
 
 
-def _refine(key: np.ndarray, block: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Blocks by bucket, block and document; which of them an earlier document has; which share their bucket with another block."""
+def _refine(key: np.ndarray, block: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by bucket, block and document; in it, which blocks an earlier document has, and how many different blocks
+    the bucket of each has."""
     order = np.lexsort((doc, block, key))
-    key, block, doc, at = key[order], block[order], doc[order], at[order]
+    key, block, doc = key[order], block[order], doc[order]
     other_key = np.ones(len(key), bool)
     other_key[1:] = key[1:] != key[:-1]
     other = other_key.copy()
     other[1:] |= block[1:] != block[:-1]
-    earliest = doc[np.flatnonzero(other)][np.cumsum(other) - 1] if len(doc) else doc
+    if not len(key):
+        return order, other, np.zeros(0, np.int64)
+    earliest = doc[np.flatnonzero(other)][np.cumsum(other) - 1]
     number = np.cumsum(other_key) - 1
-    blocks = np.bincount(number, weights=other) if len(doc) else np.zeros(0)
-    return key, block, doc, at, doc > earliest, blocks[number] > 1 if len(doc) else np.zeros(0, bool)
+    return order, doc > earliest, np.bincount(number, weights=other)[number].astype(np.int64)
+
+
+def identifiers(text: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of slices of so many bytes, one after another in text: the places from which a string of `length` bytes (eight at
+    least) lies in its slice and occurs at another such place too, its identifier, and the number of refinements.
+
+    Places begin in the buckets of their next eight bytes. Each round sorts them by (identifier, identifier `step` later),
+    which tells twice the bytes apart, and numbers the buckets anew; only places whose bucket, and later bucket, hold
+    others too are kept.
+    """
+    end = np.repeat(np.cumsum(size), size)
+    known, rounds = 8, 0
+    bucket = np.unique(H.eights(np.concatenate([text, np.zeros(8, np.uint8)]))[: len(text)], return_inverse=True)[1]
+    places = np.flatnonzero(end - np.arange(len(text)) >= known)
+    while True:
+        places = places[np.bincount(bucket[places], minlength=1)[bucket[places]] > 1] if len(places) else places
+        if known == length or not len(places):
+            return places, bucket[places], rounds
+        step = min(known, length - known)
+        kept = np.zeros(len(text), bool)
+        kept[places] = True
+        places = places[end[places] - places >= known + step]
+        places = places[kept[places + step]]
+        pairs = bucket[places] * (int(bucket.max(initial=0)) + 1) + bucket[places + step]
+        bucket = np.zeros(len(text), np.int64)
+        bucket[places] = np.unique(pairs, return_inverse=True)[1]
+        known, rounds = known + step, rounds + 1
+
+
+def _windows_gone(text: np.ndarray, size: np.ndarray, doc: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, at) of the runs of windows in these blocks that an earlier document has."""
+    places, bucket, _ = identifiers(text, size, length)
+    row = np.repeat(np.arange(len(size)), size)[places]
+    order = np.lexsort((doc[row], bucket))
+    first = np.ones(len(order), bool)
+    first[1:] = bucket[order][1:] != bucket[order][:-1]
+    earliest = np.zeros(len(places), np.int64)
+    if len(order):
+        earliest[order] = doc[row[order[first]]][np.cumsum(first) - 1]
+    gone = doc[row] > earliest
+    places, row = places[gone], row[gone]
+    begins = np.ones(len(places), bool)
+    begins[1:] = (places[1:] != places[:-1] + 1) | (row[1:] != row[:-1])
+    runs = np.diff(np.append(np.flatnonzero(begins), len(places)))
+    places, row = places[begins], row[begins]
+    return doc[row], (at[row] // 256 + places - (np.cumsum(size) - size)[row]) * 256 + runs
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -172,30 +230,43 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFram
         wanted = shared.value
         for batch in batches:
             ids, (data, at) = batch.column(0).to_numpy(), H.utf8(batch.column(1))
-            found = [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))]
+            found = [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.uint8))]
             for a, run in _runs(data, at, length, q):
                 keep = wanted.has(run.key)
-                first, count, doc = run.first[keep], run.count[keep], run.doc[keep]
-                found.append((run.key[keep], H.hashes(run.data, first, count + length - 1), ids[a + doc], run.places(first, doc) * 256 + count))
-            key, block, doc, place, whole, several = _refine(*(np.concatenate(x) for x in zip(*found, strict=True)))
-            own_doc, own_place = doc[whole], place[whole]
-            key, block, doc, place, several = key[~whole], block[~whole], doc[~whole], place[~whole], several[~whole]
-            noted = np.unique(key[several])
-            order = np.lexsort((place, doc))
-            key, block, doc, place, several = key[order], block[order], doc[order], place[order], several[order]
-            where = _Map.bucket(np.where(several, H.mix(key + block), key), buckets)
-            own_where = np.arange(len(own_doc)) * buckets // max(1, len(own_doc))
-            order = np.lexsort((own_place, own_doc))
-            yield _packed({"key": (where, key), "block": (where, block), "doc_id": (where, doc), "at": (where, place), "lone": (where, ~several), "noted": (_Map.bucket(noted, buckets), noted), "own_doc_id": (own_where, own_doc[order]), "own_at": (own_where, own_place[order])}, buckets)
+                first, size, doc = run.first[keep], run.count[keep] + length - 1, run.doc[keep]
+                found.append((run.key[keep], H.hashes(run.data, first, size), ids[a + doc], run.places(first, doc) * 256 + run.count[keep], _gather(run.data, first, size)))
+            key, block, doc, place, text = (np.concatenate(x) for x in zip(*found, strict=True))
+            size = place % 256 + length - 1
+            start = np.cumsum(size) - size
+            order, whole, blocks = _refine(key, H.exact_slices(text, block, start, size), doc)
+            own, rest, spread = order[whole], order[~whole], blocks[~whole] > SPREAD
+            noted = np.unique(key[rest][spread])
+            own, by = own[np.lexsort((place[own], doc[own]))], np.lexsort((place[rest], doc[rest]))
+            rest, spread = rest[by], spread[by]
+            where = _Map.bucket(np.where(spread, H.mix(key[rest] + block[rest]), key[rest]), buckets)
+            own_where = np.arange(len(own)) * buckets // max(1, len(own))
+            yield _packed({"key": (where, key[rest]), "block": (where, block[rest]), "doc_id": (where, doc[rest]), "at": (where, place[rest]), "lone": (where, ~spread), "text": (where, text, start[rest], size[rest]), "noted": (_Map.bucket(noted, buckets), noted), "own_doc_id": (own_where, doc[own]), "own_at": (own_where, place[own])}, buckets)
 
     def judge(table: pa.Table) -> pa.Table:
         lone, noted = _joined(table, "lone", np.bool_), _joined(table, "noted", np.uint64)
-        key, block, doc, at = (_joined(table, n, t) for n, t in (("key", np.uint64), ("block", np.uint64), ("doc_id", np.int64), ("at", np.int64)))
+        key, block, doc, at, text = (_joined(table, n, t) for n, t in (("key", np.uint64), ("block", np.uint64), ("doc_id", np.int64), ("at", np.int64), ("text", np.uint8)))
+        size = at % 256 + length - 1
+        start = np.cumsum(size) - size
         contested = np.unique(np.concatenate([noted, key[~lone]]))
-        key, block, doc, at, whole, several = _refine(key, block, doc, at)
-        open_ = ~whole & (several | np.isin(key, contested))
-        own = _joined(table, "own_doc_id", np.int64), _joined(table, "own_at", np.int64)
-        return pa.table({"doc_id": np.concatenate([own[0], doc[whole], doc[open_]]), "at": np.concatenate([own[1], at[whole], at[open_]]), "whole": np.arange(len(own[0]) + whole.sum() + open_.sum()) < len(own[0]) + whole.sum()})
+        order, whole, blocks = _refine(key, H.exact_slices(text, block, start, size), doc)
+        spread = np.isin(key[order], contested)
+        gone, open_, mixed = order[whole], order[~whole & spread], order[~whole & ~spread & (blocks > 1)]
+        found = [(_joined(table, "own_doc_id", np.int64), _joined(table, "own_at", np.int64)), (doc[gone], at[gone])]
+        ends = np.flatnonzero(np.append(key[mixed][1:] != key[mixed][:-1], True)) + 1 if len(mixed) else np.zeros(0, np.int64)
+        low, total = 0, np.cumsum(size[mixed])
+        while low < len(mixed):  # whole buckets of about REFINED bytes together
+            high = int(ends[min(len(ends) - 1, np.searchsorted(total[ends - 1], (total[low - 1] if low else 0) + REFINED))])
+            rows = mixed[low:high]
+            found.append(_windows_gone(_gather(text, start[rows], size[rows]), size[rows], doc[rows], at[rows], length))
+            low = high
+        sure = sum(len(f[0]) for f in found)
+        found.append((doc[open_], at[open_]))
+        return pa.table({"doc_id": np.concatenate([f[0] for f in found]), "at": np.concatenate([f[1] for f in found]), "whole": np.arange(sure + len(open_)) < sure})
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,31 +274,34 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFram
             firsts, owners = _lists(batch.column(2))
             counts, _ = _lists(batch.column(3))
             lows = np.searchsorted(owners, np.arange(batch.num_rows + 1))
-            found = [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))]
+            found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, length), np.uint8))]
             for a, run in _runs(data, at, length, q):
                 some = np.arange(lows[a], lows[a + len(run.at) - 1])
                 some = some[(firsts[some] >= run.base) & (firsts[some] - run.base + counts[some] - 1 + length <= np.diff(run.at)[owners[some] - a])]
+                if not len(some):
+                    continue
                 count, doc = counts[some], owners[some] - a
                 start = np.repeat(firsts[some] - run.base + run.at[doc], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 doc = np.repeat(doc, count)
-                later = H.mix(run.buckets[start + q] * H.FACTORS[0] + run.buckets[start + length - q] * H.FACTORS[1]) if 2 * q <= length <= 3 * q else H.hashes(run.data, start, np.full(len(start), length))
-                found.append((run.buckets[start], later, ids[a + doc], run.places(start, doc)))
-            bucket, later, doc, first, gone, _ = _refine(*(np.concatenate(x) for x in zip(*found, strict=True)))
-            own = np.lexsort((first[gone], doc[gone]))
-            own_doc, own_first = doc[gone][own], first[gone][own]
-            order = np.lexsort((first, doc))[~gone[np.lexsort((first, doc))]]
-            hash_, doc, first = H.mix(bucket + later * H.FACTORS[2])[order], doc[order], first[order]
-            check, where = (later[order] >> H.U(32)).astype(np.uint32), (hash_ % H.U(buckets)).astype(np.int64)
-            own_where = np.arange(len(own_doc)) * buckets // max(1, len(own_doc))
-            yield _packed({"hash": (where, hash_), "check": (where, check), "doc_id": (where, doc), "first": (where, first.astype(np.int32)), "own_doc_id": (own_where, own_doc), "own_first": (own_where, own_first.astype(np.int32))}, buckets)
+                found.append((H.hashes(run.data, start, np.full(len(start), length)), ids[a + doc], run.places(start, doc), np.lib.stride_tricks.sliding_window_view(run.data, length)[start]))
+            hash_, doc, first, text = (np.concatenate(x) for x in zip(*found, strict=True))
+            order, gone, _ = _refine(hash_, _exact(hash_, text), doc)
+            own, rest = order[gone], order[~gone]
+            own, rest = own[np.lexsort((first[own], doc[own]))], rest[np.lexsort((first[rest], doc[rest]))]
+            where, own_where = _Map.bucket(hash_[rest], buckets), np.arange(len(own)) * buckets // max(1, len(own))
+            yield _packed({"hash": (where, hash_[rest]), "text": (where, text[rest]), "doc_id": (where, doc[rest]), "first": (where, first[rest].astype(np.int32)), "own_doc_id": (own_where, doc[own]), "own_first": (own_where, first[own].astype(np.int32))}, buckets)
+
+    def _exact(hash_: np.ndarray, text: np.ndarray) -> np.ndarray:
+        return H.exact_slices(text.ravel(), hash_, np.arange(len(hash_)) * length, np.full(len(hash_), length))
 
     def repeats(table: pa.Table) -> pa.Table:
-        hash_, check, doc, first = (_joined(table, n, t) for n, t in (("hash", np.uint64), ("check", np.uint32), ("doc_id", np.int64), ("first", np.int32)))
-        _, _, doc, first, gone, _ = _refine(hash_, check, doc, first)
-        return pa.table({"doc_id": np.concatenate([doc[gone], _joined(table, "own_doc_id", np.int64)]), "first": np.concatenate([first[gone], _joined(table, "own_first", np.int32)]).astype(np.int64)})
+        hash_, doc, first, text = (_joined(table, n, t) for n, t in (("hash", np.uint64), ("doc_id", np.int64), ("first", np.int32), ("text", np.uint8)))
+        order, gone, _ = _refine(hash_, _exact(hash_, text.reshape(-1, length)), doc)
+        doc, first = doc[order[gone]], first[order[gone]]
+        return pa.table({"doc_id": np.concatenate([doc, _joined(table, "own_doc_id", np.int64)]), "first": np.concatenate([first, _joined(table, "own_first", np.int32)]).astype(np.int64)})
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = partitions(docs, size)
+    buckets = partitions(docs, size, 12 << 20)
     slices = docs.mapInArrow(notes, _NOTES).groupBy("bucket").applyInArrow(gather, "bucket int, bits binary").collect()  # MAP_BYTES at most
     shared = docs.sparkSession.sparkContext.broadcast(_Map([(r.bucket, bytes(r.bits)) for r in slices], buckets))
     judged = materialise(docs.mapInArrow(messages, _MESSAGES).groupBy("bucket").applyInArrow(judge, "doc_id long, at long, whole boolean"))
