@@ -39,6 +39,8 @@ _LOW = 20
 SPREAD = 16
 #: Bytes of blocks that are refined at a time (a bucket is not divided).
 REFINED = 1 << 19
+#: Bytes of documents that a task looks at together.
+TOGETHER = 4 << 20
 _NOTES = "bucket int, single binary, several binary"
 _WINDOWS = "bucket int, hash binary, text binary, doc_id binary, first binary, own_doc_id binary, own_first binary"
 _MESSAGES = "bucket int, key binary, block binary, doc_id binary, at binary, lone binary, text binary, noted binary, own_doc_id binary, own_at binary"
@@ -201,6 +203,16 @@ def _windows_gone(text: np.ndarray, size: np.ndarray, doc: np.ndarray, at: np.nd
     return doc[row], (at[row] // 256 + places - (np.cumsum(size) - size)[row]) * 256 + runs
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of (doc_id, text ...) in parts of about TOGETHER bytes of text; a longer document is a part of its own."""
+    for batch in batches:
+        ends, low = np.cumsum(np.diff(H.utf8(batch.column(1))[1])), 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + TOGETHER, "right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The values of lists, and for each value the number of its list."""
     return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
@@ -216,7 +228,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFram
         return (np.concatenate([x[i] for x in found]) if found else np.zeros(0, (np.uint64, np.int64)[i]) for i in (0, 1))
 
     def notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             keys, _, twin = distinct_pairs(*suffixes(batch))
             single, several = keys[~twin], np.unique(keys[twin])
             yield _packed({"single": (_Map.bucket(single, buckets), single.astype(np.uint32)), "several": (_Map.bucket(several, buckets), several.astype(np.uint32))}, buckets)
@@ -228,7 +240,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFram
 
     def messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
-        for batch in batches:
+        for batch in _parts(batches):
             ids, (data, at) = batch.column(0).to_numpy(), H.utf8(batch.column(1))
             found = [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.uint8))]
             for a, run in _runs(data, at, length, q):
@@ -269,7 +281,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFram
         return pa.table({"doc_id": np.concatenate([f[0] for f in found]), "at": np.concatenate([f[1] for f in found]), "whole": np.arange(sure + len(open_)) < sure})
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             ids, (data, at) = batch.column(0).to_numpy(), H.utf8(batch.column(1))
             firsts, owners = _lists(batch.column(2))
             counts, _ = _lists(batch.column(3))
