@@ -43,7 +43,7 @@ REFINED = 1 << 19
 TOGETHER = 4 << 20
 _NOTES = "bucket int, single binary, several binary"
 _WINDOWS = "bucket int, hash binary, text binary, doc_id binary, first binary, own_doc_id binary, own_first binary"
-_MESSAGES = "bucket int, key binary, block binary, doc_id binary, at binary, lone binary, text binary, noted binary, own_doc_id binary, own_at binary"
+_MESSAGES = "bucket int, key binary, doc_id binary, at binary, lone binary, text binary, noted binary, own_doc_id binary, own_at binary"
 
 
 class _Run:
@@ -257,15 +257,15 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFram
             rest, spread = rest[by], spread[by]
             where = _Map.bucket(np.where(spread, H.mix(key[rest] + block[rest]), key[rest]), buckets)
             own_where = np.arange(len(own)) * buckets // max(1, len(own))
-            yield _packed({"key": (where, key[rest]), "block": (where, block[rest]), "doc_id": (where, doc[rest]), "at": (where, place[rest]), "lone": (where, ~spread), "text": (where, text, start[rest], size[rest]), "noted": (_Map.bucket(noted, buckets), noted), "own_doc_id": (own_where, doc[own]), "own_at": (own_where, place[own])}, buckets)
+            yield _packed({"key": (where, key[rest]), "doc_id": (where, doc[rest]), "at": (where, place[rest]), "lone": (where, ~spread), "text": (where, text, start[rest], size[rest]), "noted": (_Map.bucket(noted, buckets), noted), "own_doc_id": (own_where, doc[own]), "own_at": (own_where, place[own])}, buckets)
 
     def judge(table: pa.Table) -> pa.Table:
         lone, noted = _joined(table, "lone", np.bool_), _joined(table, "noted", np.uint64)
-        key, block, doc, at, text = (_joined(table, n, t) for n, t in (("key", np.uint64), ("block", np.uint64), ("doc_id", np.int64), ("at", np.int64), ("text", np.uint8)))
+        key, doc, at, text = (_joined(table, n, t) for n, t in (("key", np.uint64), ("doc_id", np.int64), ("at", np.int64), ("text", np.uint8)))
         size = at % 256 + length - 1
         start = np.cumsum(size) - size
         contested = np.unique(np.concatenate([noted, key[~lone]]))
-        order, whole, blocks = _refine(key, H.exact_slices(text, block, start, size), doc)
+        order, whole, blocks = _refine(key, H.exact_slices(text, H.hashes(text, start, size), start, size), doc)
         spread = np.isin(key[order], contested)
         gone, open_, mixed = order[whole], order[~whole & spread], order[~whole & ~spread & (blocks > 1)]
         found = [(_joined(table, "own_doc_id", np.int64), _joined(table, "own_at", np.int64)), (doc[gone], at[gone])]
