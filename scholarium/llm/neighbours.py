@@ -26,14 +26,15 @@ PIECE = 4096
 WISHED = 0.95
 
 
-def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest others of each row, exactly."""
-    square = (x * x).sum(1)
-    out = np.empty((len(x), k), np.int64)
-    for low in range(0, len(x), 512):
-        d = square[None, :] - 2 * x[low : low + 512] @ x.T
-        d[np.arange(len(d)), np.arange(low, low + len(d))] = np.inf
-        out[low : low + 512] = np.argpartition(d, k - 1, axis=1)[:, :k]
+def neighbour_graph(x: np.ndarray, k: int, rows: np.ndarray | None = None, block: int = 256) -> np.ndarray:
+    """The k nearest others of each row, or of some rows, exactly; a block of rows at a time, which bounds the memory."""
+    square, rows = (x * x).sum(1), np.arange(len(x)) if rows is None else rows
+    out = np.empty((len(rows), k), np.int64)
+    for low in range(0, len(rows), block):
+        some = rows[low : low + block]
+        d = square[None, :] - 2 * x[some] @ x.T
+        d[np.arange(len(d)), some] = np.inf
+        out[low : low + block] = np.argpartition(d, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -111,9 +112,7 @@ class Router:
         rank = np.empty_like(where)
         np.put_along_axis(rank, where, np.arange(parts)[None, :].repeat(len(x), 0), 1)
         queries = np.flatnonzero(held)
-        d = (x * x).sum(1)[None, :] - 2 * x[queries] @ x.T
-        d[np.arange(len(queries)), queries] = np.inf
-        near = np.argpartition(d, k, axis=1)[:, :k]
+        near = neighbour_graph(x, k, queries)
         needed = rank[queries[:, None], where[near, 0]]
         recall = np.cumsum(np.bincount(needed.ravel(), minlength=parts)) / needed.size
         self.probes = int(np.searchsorted(recall, wished) + 1)
