@@ -31,12 +31,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialise(df: DataFrame) -> DataFrame:
+#: Spark's setting to remove a query's shuffle files as soon as the query has ended.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, tidy: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors. An operator's
-    result reads such tables when its rows are asked for, so they stay; `settled` removes them."""
+    result reads such tables when its rows are asked for, so they stay; `settled` removes them. With `tidy` what the write
+    has shuffled goes from the disks when it has ended."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, None)
+    if tidy:
+        spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
     if _written.get() is not None:
         _written.get().append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,6 +16,7 @@ from scholarium.llm.mixing import replicate
 from scholarium.llm.neighbours import search
 from scholarium.llm.pii import KINDS, as_text, find_spans
 from scholarium.llm.quality import score_documents
+from scholarium.llm.ranked import search as ranked_search
 from scholarium.llm.revisits import crawl_records, resolve_revisits
 from scholarium.llm.substrings import remove_repeats
 
@@ -71,6 +72,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_pii_boosting": op10_pii_boosting,
+    "op12_nra_search": op12_nra_search,
 }
 
 _WORDS10 = r"""
@@ -189,6 +195,23 @@ SELECT words.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(words.doc_id, c
 FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(other) AS lo FROM reach GROUP BY node) USING (doc_id)
 """
 
+_RANKED = r"""
+WITH words AS (
+    SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents WHERE text IS NOT NULL),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM words WHERE len(w) > 0),
+postings AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM words) GROUP BY r, doc_id, n, term),
+wanted AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE text IS NOT NULL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM postings GROUP BY term), totals),
+scores AS (
+    SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+    FROM wanted JOIN postings USING (term) JOIN weights USING (term), totals GROUP BY item_id, r, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": _WORDS10,
     "op2_license_scan": _LICENSES,
@@ -196,4 +219,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_suffix_dedup": _REPEATS,
     "op8_ngram_jaccard": _JACCARD,
     "op9_warc_revisits": _REVISITS,
+    "op12_nra_search": _RANKED,
 }
