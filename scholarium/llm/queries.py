@@ -19,6 +19,7 @@ from scholarium.llm.quality import score_documents
 from scholarium.llm.ranked import search as ranked_search
 from scholarium.llm.revisits import crawl_records, resolve_revisits
 from scholarium.llm.substrings import remove_repeats
+from scholarium.llm.trie import prefix_trie
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +77,10 @@ def op12_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_revisits": op9_warc_revisits,
     "op10_pii_boosting": op10_pii_boosting,
     "op12_nra_search": op12_nra_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _WORDS10 = r"""
@@ -212,6 +218,27 @@ SELECT item_id, rank::INT AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
 """
 
+_TRIE = r"""
+WITH turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || t)) AS i, {'role': r, 'text': t} AS said
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+    SELECT c, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 4 AS h
+    FROM (SELECT DISTINCT conv_id AS c FROM turns)),
+parts AS (
+    SELECT c, 0 AS part, i, said FROM convs JOIN turns ON conv_id = c - c % 20 AND i <= h
+    UNION ALL SELECT c, 1, i, said FROM convs JOIN turns ON conv_id = c AND i > h),
+seqs AS (SELECT c, coalesce(list(said ORDER BY part, i) FILTER (said IS NOT NULL), []) AS w FROM convs LEFT JOIN parts USING (c) GROUP BY c),
+nodes AS (SELECT d, w[1:d] AS p, min(c) AS conv_id, count(*) AS n FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM seqs) GROUP BY d, w[1:d]),
+counted AS (SELECT x.*, x.p[1:x.d - 1] AS up, (SELECT count(*) FROM nodes y WHERE y.d = x.d + 1 AND y.p[1:x.d] = x.p) AS n_children,
+            CASE WHEN d = 0 THEN 0 ELSE (n - 1) * len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')) END AS saved FROM nodes x),
+under AS (SELECT k AS d, p[1:k] AS p, sum(saved) AS saved_tokens, sum((n_children = 0)::INT) AS n_leaves FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM counted) GROUP BY k, p[1:k]),
+stops AS (SELECT w, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM seqs GROUP BY w)
+SELECT x.conv_id, x.d::BIGINT AS depth, y.conv_id AS parent_conv_id, x.n AS n_convs, x.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM counted x JOIN under USING (d, p) LEFT JOIN stops ON w = x.p LEFT JOIN nodes y ON y.d = x.d - 1 AND y.p = x.up
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": _WORDS10,
     "op2_license_scan": _LICENSES,
@@ -220,4 +247,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_ngram_jaccard": _JACCARD,
     "op9_warc_revisits": _REVISITS,
     "op12_nra_search": _RANKED,
+    "op13_prefix_trie": _TRIE,
 }
