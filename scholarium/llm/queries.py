@@ -19,6 +19,7 @@ from scholarium.llm.quality import score_documents
 from scholarium.llm.ranked import search as ranked_search
 from scholarium.llm.revisits import crawl_records, resolve_revisits
 from scholarium.llm.substrings import remove_repeats
+from scholarium.llm.suffix_tree import score_texts
 from scholarium.llm.trie import prefix_trie
 
 
@@ -73,6 +74,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op12_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_pii_boosting": op10_pii_boosting,
+    "op11_suffix_tree": op11_suffix_tree,
     "op12_nra_search": op12_nra_search,
     "op13_prefix_trie": op13_prefix_trie,
 }
