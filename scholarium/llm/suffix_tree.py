@@ -11,7 +11,7 @@ All documents are counted, and neither the counts nor the tree is ever in one pl
 BLOCK bytes. A block sends each of its distinct words, pairs and later triples once, packed, to the bucket of its hash,
 where the blocks' counts meet; the bucket answers each block for what it has sent. So a word or pair that a third of all
 text consists of costs one entry a block. Sums of a context's divergence meet in the same way, from each block's share.
-Words are told apart by 128 bits of BLAKE2b, pairs and triples by 48 bits within their bucket.
+Words are told apart by 128 bits of BLAKE2b, pairs and triples by 40 bits within their bucket.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from scholarium.llm.frames import materialise, partitions
 MODULUS, HELD_OUT = 7, 2
 #: Least count of a context, least divergence in nats for each next word that it has counts of, weight for other words.
 LEAST, DIVERGENCE, PSEUDO = 16, 6.0, 4.0
-BLOCK = 12 << 20
+BLOCK = 5 << 20
 _PARTS = "block long, kind string, bucket int, data binary"
 U = np.uint64
 #: Stands for the end of a text; no word has a space.
@@ -55,9 +55,34 @@ def unpack(data: bytes, *types: type) -> list[np.ndarray]:
     return [np.ascontiguousarray(np.lib.format.read_array(raw, allow_pickle=False).T).reshape(-1).view(t) for t in types]
 
 
+#: Bits of an n-gram's key, the bucket's number is above them; bytes that a word's and an n-gram's request have, after the key.
+KEY_BITS = 40
+_ASKED = {"words": (16, [np.uint32]), "pairs": (5, [np.uint32]), "triples": (5, [np.uint32]), "single": (5, [U, np.float32, np.uint32, np.float32, np.float32])}
+_ASKED["double"] = _ASKED["single"]
+
+
+def planes(*arrays: np.ndarray) -> np.ndarray:
+    """A column of bytes for each place of the arrays."""
+    return np.concatenate([np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize) for x in arrays], axis=1).T
+
+
+def values(rows: np.ndarray, *types: type) -> list[np.ndarray]:
+    """Arrays from the rows of bytes that planes has made."""
+    out, at = [], 0
+    for t in types:
+        size = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(rows[at : at + size].T).reshape(-1).view(t) if rows.shape[1] else np.zeros(0, t))
+        at += size
+    return out
+
+
+def _rows(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(width, -1)
+
+
 def _encoded(docs: DataFrame) -> DataFrame:
-    """Blocks as one part each: doc_ids, tokens of each document, whether it is held out, all tokens as numbers of the
-    block's words (most frequent first), and the words' keys."""
+    """Blocks as parts with data: doc_ids, tokens of each document, whether it is held out, all tokens as numbers of the
+    block's words (most frequent first), and halves of the words' keys. `other` has the other halves."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -67,25 +92,28 @@ def _encoded(docs: DataFrame) -> DataFrame:
             while first < batch.num_rows:
                 end = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK, "right")) - 1)
                 ids = batch.column(0).slice(first, end - first).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array(["block"]), pa.array([0], pa.int32()), pa.array([_block(data, at[first : end + 1], ids)], pa.binary())], names=["block", "kind", "bucket", "data"])
+                whole, other = _block(data, at[first : end + 1], ids)
+                yield from _parts([(block, "block", 0, whole)]).append_column("other", pa.array([other], pa.binary())).to_batches()
                 first, block = end, block + 1
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(encode, _PARTS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(encode, f"{_PARTS}, other binary")
 
 
-def _block(data: np.ndarray, at: np.ndarray, ids: np.ndarray) -> bytes:
+def _block(data: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes]:
     h, first, end, doc = H.words(data, at, H.NONSPACE)
     number = H.exact_words(data, at, h, first, end)
-    _, index, number, times = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
-    order = np.argsort(-times, kind="stable")
-    place = np.empty_like(order)
+    index = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
+    index[number[::-1]] = np.arange(len(number))[::-1]
+    order = np.argsort(-np.bincount(number, minlength=len(index)), kind="stable")
+    place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order)) + 1  # 0 is the end
-    names = [H.LOWER[data[at[0] + a : at[0] + b]].tobytes() for a, b in zip(first[index[order]].tolist(), end[index[order]].tolist(), strict=True)]
-    keys = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in [_END, *names]), U).reshape(-1, 2)
+    low, index = H.LOWER[data[at[0] : at[-1]]].tobytes(), index[order]
+    digest = lambda word: hashlib.blake2b(word, digest_size=16).digest()
+    keys = np.frombuffer(b"".join([digest(_END), *[digest(low[a:b]) for a, b in zip(first[index].tolist(), end[index].tolist(), strict=True)]]), U).reshape(-1, 2)
     sizes = np.bincount(doc, minlength=len(ids))
     tokens = np.insert(place[number] if len(number) else np.zeros(0, np.int64), np.cumsum(sizes), 0).astype(np.uint32)
     held = np.array([zlib.crc32(str(i).encode()) % MODULUS == HELD_OUT for i in ids.tolist()], np.uint8)
-    return pack(ids.astype(np.int64), (sizes + 1).astype(np.uint32), held, tokens, keys[:, 0].copy(), keys[:, 1].copy())
+    return pack(ids.astype(np.int64), (sizes + 1).astype(np.uint32), held, tokens, keys[:, 0].copy()), keys[:, 1].tobytes()
 
 
 class Block:
@@ -93,7 +121,7 @@ class Block:
 
     def __init__(self, data: bytes, buckets: int):
         self.buckets = buckets
-        self.ids, self.sizes, self.held, tokens, self.key, self.other = unpack(data, np.int64, np.uint32, np.uint8, np.uint32, U, U)
+        self.ids, self.sizes, self.held, tokens, self.key = unpack(data, np.int64, np.uint32, np.uint8, np.uint32, U)
         self.tokens = tokens.astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
         self.train = self.held[self.doc] == 0
@@ -103,7 +131,7 @@ class Block:
 
     def _distinct(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams by bucket and key, and the number of each place's."""
-        return np.unique((prints % U(self.buckets) << U(48)) | (prints >> U(16)), return_inverse=True)
+        return np.unique(_placed(prints, self.buckets), return_inverse=True)
 
     def pairs(self) -> None:
         """pair: of each token of `second`, the number of the distinct pair that it ends."""
@@ -111,68 +139,84 @@ class Block:
         self.pair_keys, self.pair = self._distinct(self.pair_print)
 
     def triples(self, count: np.ndarray, least: int) -> None:
-        """Triples whose context has the least count; `triple` as `pair`, `ends` the tokens that they end."""
+        """Of tokens whose context of two words has the least count: the tokens (`ends`), the places in `second` of their
+        `context` and `last` pair, and the number of their `triple`. A triple whose last pair was not seen twice was not
+        either; it is not asked for, and its number is -1."""
         place = np.zeros(len(self.tokens), np.int64)
         place[self.second] = np.arange(len(self.second))
         before = place[self.third - 1]
         often = count[self.pair[before]] >= least
         self.ends, self.context, self.last = self.third[often], before[often], place[self.third[often]]
-        self.triple_keys, self.triple = self._distinct(H.mix(self.pair_print[self.context] * H.FACTORS[1] + self.key[self.tokens[self.ends]]))
+        asked = count[self.pair[self.last]] >= 2
+        self.triple = np.full(len(self.ends), -1)
+        self.triple_keys, self.triple[asked] = self._distinct(H.mix(self.pair_print[self.context[asked]] * H.FACTORS[1] + self.key[self.tokens[self.ends[asked]]]))
 
-    def requests(self, kind: str, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, str, bytes]]:
+    def requests(self, kind: str, keys: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, str, bytes]]:
         """What goes to each bucket of n-grams sorted by bucket and key."""
-        ends = np.searchsorted(keys >> U(48), np.arange(self.buckets + 1).astype(U))
-        for i in range(self.buckets):
-            if ends[i] < ends[i + 1]:
-                some = slice(ends[i], ends[i + 1])
-                low = keys[some]
-                yield i, kind, pack((low & U(0xFFFFFFFF)).astype(np.uint32), (low >> U(32) & U(0xFFFF)).astype(np.uint16), *(v[some] for v in values))
+        asked = np.concatenate([planes(keys)[: KEY_BITS // 8], planes(*arrays)])
+        ends = _ends(keys, self.buckets)
+        for i in np.flatnonzero(np.diff(ends)).tolist():
+            yield i, kind, asked[:, ends[i] : ends[i + 1]].tobytes()
+
+    def words(self, other: bytes) -> Iterator[tuple[int, str, bytes]]:
+        """What goes to each bucket of words; answers come in the same order."""
+        times = np.bincount(self.tokens[self.train], minlength=len(self.key)).astype(np.uint32)
+        order, ends = self.dealt()
+        asked = planes(self.key[order], np.frombuffer(other, U)[order], times[order])
+        for i in np.flatnonzero(np.diff(ends)).tolist():
+            yield i, "words", asked[:, ends[i] : ends[i + 1]].tobytes()
 
+    def dealt(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words by their buckets, and where each bucket's begin."""
+        bucket = self.key % U(self.buckets)
+        order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange(self.buckets + 1).astype(U))
 
-def _words(block: Block) -> Iterator[tuple[int, str, bytes]]:
-    times = np.bincount(block.tokens[block.train], minlength=len(block.key)).astype(np.uint32)
-    bucket = block.key % U(block.buckets)
-    for i in range(block.buckets):
-        mine = np.flatnonzero(bucket == i)
-        if len(mine):
-            yield i, "words", pack(block.key[mine], block.other[mine], times[mine])
 
+def _placed(prints: np.ndarray, buckets: int) -> np.ndarray:
+    return (prints % U(buckets) << U(KEY_BITS)) | (prints >> U(64 - KEY_BITS))
 
-def _numbered(keys: list[np.ndarray]) -> tuple[np.ndarray, int]:
-    _, number = np.unique(np.concatenate(keys), return_inverse=True)
-    return number, int(number.max(initial=-1)) + 1
+
+def _ends(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return np.searchsorted(keys >> U(KEY_BITS), np.arange(buckets + 1).astype(U))
 
 
 def _meet(bucket: int, kind: str, blocks: list[int], data: list[bytes], divergence: float) -> Iterator[tuple[int, str, int, bytes]]:
     """The answers of a bucket to blocks (in order)."""
+    width, types = _ASKED[kind]
+    width += sum(np.dtype(t).itemsize for t in types)
+    parts = [_rows(x, width) for x in data]
+    sizes, rows = [p.shape[1] for p in parts], np.concatenate(parts, axis=1)
     if kind == "words":
-        asked = [unpack(x, U, U, np.uint32) for x in data]
-        both = np.concatenate([np.stack([k, o], 1) for k, o, _ in asked])
-        order = np.lexsort((both[:, 1], both[:, 0]))
-        fresh = np.ones(len(both), bool)
-        fresh[1:] = (both[order][1:] != both[order][:-1]).any(1)
-        number = np.empty(len(both), np.int64)
+        first, second, times = values(rows, U, U, *types)
+        order = np.lexsort((second, first))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+        number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(fresh) - 1
-        total = np.bincount(number, np.concatenate([a[2] for a in asked])).astype(np.int64)
-        yield -1, kind, bucket, pack(np.array([total.sum(), (total > 0).sum()]))
-        answers = [pack(total[n]) for n in np.split(number, np.cumsum([len(a[0]) for a in asked])[:-1])]
+        total = np.bincount(number, times).astype(np.int64)
+        yield -1, kind, bucket, planes(np.array([total.sum(), (total > 0).sum()])).tobytes()
+        answers = [planes(total[n]).tobytes() for n in _split(number, sizes)]
     else:
-        types = [np.uint32] if kind in ("pairs", "triples") else [np.uint32, np.float32, np.uint32, np.float32, np.float32]
-        asked = [unpack(x, np.uint32, np.uint16, *types) for x in data]
-        number, n = _numbered([(a[1].astype(U) << U(32)) | a[0] for a in asked])
-        sums = [np.bincount(number, np.concatenate([a[2 + j] for a in asked]), n) for j in range(len(types))]
-        each = np.split(number, np.cumsum([len(a[0]) for a in asked])[:-1])
-        if kind in ("pairs", "triples"):
-            total = sums[0].astype(np.int64)
-            answers = [pack(np.packbits(total[i] >= 2), total[i][total[i] >= 2]) for i in each]
+        keys = np.zeros((8, rows.shape[1]), np.uint8)
+        keys[: KEY_BITS // 8] = rows[: KEY_BITS // 8]
+        _, number = np.unique(values(keys, U)[0], return_inverse=True)
+        n, asked = int(number.max(initial=-1)) + 1, values(rows[KEY_BITS // 8 :], *types)
+        if len(types) == 1:
+            total = np.bincount(number, asked[0], n).astype(np.int64)
+            answers = [np.packbits(total[i] >= 2).tobytes() + planes(total[i][total[i] >= 2]).tobytes() for i in _split(number, sizes)]
         else:
             count = np.zeros(n, np.int64)
-            count[number] = np.concatenate([a[2] for a in asked])
-            kept = _kept(divergence, count, *sums[1:])
-            answers = [pack(kept[i]) for i in each]
+            count[number] = asked[0].astype(np.int64)
+            kept = _kept(divergence, count, *(np.bincount(number, a, n) for a in asked[1:]))
+            answers = [planes(kept[i]).tobytes() for i in _split(number, sizes)]
     yield from ((b, kind, bucket, x) for b, x in zip(blocks, answers, strict=True))
 
 
+def _split(x: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(x, np.cumsum(sizes)[:-1])
+
+
 def _kept(divergence: float, count: np.ndarray, gain: np.ndarray, again: np.ndarray, covered: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """Of contexts: how many of their occurrences have a next word that was seen again, 0 if the context is not kept."""
     rest, left = np.maximum(count - again, 0), np.clip(1 - covered, 1e-9, None)
@@ -188,10 +232,11 @@ def _answers(table: pa.Table, kind: str) -> dict[int, bytes]:
 
 def _sparse(answers: dict[int, bytes], keys: np.ndarray, buckets: int) -> np.ndarray:
     """Counts of distinct n-grams, 0 for those below two."""
-    out, ends = np.zeros(len(keys), np.int64), np.searchsorted(keys >> U(48), np.arange(buckets + 1).astype(U))
+    out, ends = np.zeros(len(keys), np.int64), _ends(keys, buckets)
     for i, data in answers.items():
-        bits, values = unpack(data, np.uint8, np.int64)
-        out[ends[i] : ends[i + 1]][np.unpackbits(bits, count=int(ends[i + 1] - ends[i])).astype(bool)] = values
+        n = int(ends[i + 1] - ends[i])
+        bits = (n + 7) // 8
+        out[ends[i] : ends[i + 1]][np.unpackbits(np.frombuffer(data, np.uint8, bits), count=n).astype(bool)] = values(_rows(data[bits:], 8), np.int64)[0]
     return out
 
 
@@ -201,9 +246,9 @@ class Model:
     def __init__(self, table: pa.Table, buckets: int, total: int, different: int, least: int):
         self.block = block = Block(_answers(table, "block")[0], buckets)
         self.count = np.zeros(len(block.key), np.int64)
-        bucket = block.key % U(buckets)
+        order, ends = block.dealt()
         for i, data in _answers(table, "words").items():
-            self.count[bucket == i] = unpack(data, np.int64)[0]
+            self.count[order[ends[i] : ends[i + 1]]] = values(_rows(data, 8), np.int64)[0]
         self.root = (self.count + 1) / (total + different + 1)
         block.pairs()
         self.pair_count = _sparse(_answers(table, "pairs"), block.pair_keys, buckets)
@@ -214,7 +259,7 @@ class Model:
         # single words that are candidates, by bucket and key
         self.single = np.unique(self.before)
         self.single = self.single[self.count[self.single] >= least]
-        self.single_keys, at = np.unique((block.key[self.single] % U(buckets) << U(48)) | (block.key[self.single] >> U(16)), return_index=True)
+        self.single_keys, at = np.unique(_placed(block.key[self.single], buckets), return_index=True)
         self.single = self.single[at]
 
     def first(self, table: pa.Table) -> None:
@@ -223,7 +268,7 @@ class Model:
         kept[self.single] = _dense(_answers(table, "single"), self.single_keys, self.block.buckets)
         c, n = self.count[self.before], kept[self.before]
         self.q = np.where(n > 0, (self.again + (c - n + PSEUDO) * self.plain) / (c + PSEUDO), self.plain)
-        self.triple_count = _sparse(_answers(table, "triples"), self.block.triple_keys, self.block.buckets)
+        self.triple_count = np.append(_sparse(_answers(table, "triples"), self.block.triple_keys, self.block.buckets), 0)  # the last: of -1
         self.double, self.of = np.unique(self.block.pair[self.block.context], return_inverse=True)
 
     def scores(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -240,9 +285,9 @@ class Model:
 
 
 def _dense(answers: dict[int, bytes], keys: np.ndarray, buckets: int) -> np.ndarray:
-    out, ends = np.zeros(len(keys), np.int64), np.searchsorted(keys >> U(48), np.arange(buckets + 1).astype(U))
+    out, ends = np.zeros(len(keys), np.int64), _ends(keys, buckets)
     for i, data in answers.items():
-        out[ends[i] : ends[i + 1]] = unpack(data, np.int64)[0]
+        out[ends[i] : ends[i + 1]] = values(_rows(data, 8), np.int64)[0]
     return out
 
 
@@ -286,16 +331,16 @@ def score_texts(docs: DataFrame, least: int = LEAST, divergence: float = DIVERGE
     """
     blocks = materialise(_encoded(docs))
     size = blocks.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
-    n = partitions(docs, size, 8 << 20)
-    buckets = min(4 * n, 1 << 15)
+    n = partitions(docs, size, 16 << 20)
+    buckets = min(4 * n, 1 << (64 - KEY_BITS))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                block = Block(data, buckets)
+            for at, data, other in zip(batch.column(0).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                block = Block(data.as_py(), buckets)
                 block.pairs()
                 times = np.bincount(block.pair[block.train[block.second]], minlength=len(block.pair_keys)).astype(np.uint32)
-                rows = [*_words(block), *block.requests("pairs", block.pair_keys, times)]
+                rows = [*block.words(other.as_py()), *block.requests("pairs", block.pair_keys, times)]
                 yield from _parts([(at, kind, i, x) for i, kind, x in rows]).to_batches()
 
     def step(rows: list[DataFrame], work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -304,10 +349,10 @@ def score_texts(docs: DataFrame, least: int = LEAST, divergence: float = DIVERGE
             parts = parts.unionByName(more)
         return parts.where("block >= 0").repartition(n, "block").groupBy("block").applyInArrow(work, schema)
 
-    known = [blocks, _exchange(blocks.mapInArrow(ask, _PARTS), n, divergence)]
+    known = [blocks.drop("other"), _exchange(blocks.mapInArrow(ask, _PARTS), n, divergence)]
     total = different = 0
     for row in known[1].where("block < 0").toLocalIterator():  # one a bucket
-        a, b = unpack(bytes(row.data), np.int64)[0].tolist()
+        a, b = values(_rows(bytes(row.data), 8), np.int64)[0].tolist()
         total, different = total + a, different + b
 
     def singles(table: pa.Table) -> pa.Table:
@@ -317,8 +362,8 @@ def score_texts(docs: DataFrame, least: int = LEAST, divergence: float = DIVERGE
         context = place[m.before]
         some = context >= 0
         sums = _shares(context[some], len(m.single), m.again[some], m.count[m.before[some]], m.plain[some], m.block.train[m.block.second][some])
-        times = np.bincount(m.block.triple[m.block.train[m.block.ends]], minlength=len(m.block.triple_keys)).astype(np.uint32)
-        rows = [*m.block.requests("single", m.single_keys, m.count[m.single].astype(np.uint32), *sums), *m.block.requests("triples", m.block.triple_keys, times)]
+        times = np.bincount(m.block.triple[m.block.train[m.block.ends] & (m.block.triple >= 0)], minlength=len(m.block.triple_keys)).astype(np.uint32)
+        rows = [*m.block.requests("single", m.single_keys, m.count[m.single].astype(U), *sums), *m.block.requests("triples", m.block.triple_keys, times)]
         at = table.column("block")[0].as_py()
         return _parts([(at, kind, i, x) for i, kind, x in rows])
 
@@ -328,7 +373,7 @@ def score_texts(docs: DataFrame, least: int = LEAST, divergence: float = DIVERGE
         b = m.block
         sums = _shares(m.of, len(m.double), m.triple_count[b.triple], m.pair_count[b.pair[b.context]], m.q[b.last], b.train[b.ends])
         at = table.column("block")[0].as_py()
-        return _parts([(at, kind, i, x) for i, kind, x in b.requests("double", b.pair_keys[m.double], m.pair_count[m.double].astype(np.uint32), *sums)])
+        return _parts([(at, kind, i, x) for i, kind, x in b.requests("double", b.pair_keys[m.double], m.pair_count[m.double].astype(U), *sums)])
 
     def final(table: pa.Table) -> pa.Table:
         m = Model(table, buckets, total, different, least)
