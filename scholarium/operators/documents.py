@@ -1,8 +1,9 @@
-"""Document texts: references cut off, chunks, paragraph classes, condensed text. Narrow: a document is one row's work."""
+"""Document texts: references cut off, chunks, paragraph classes, condensed text. A document is one row's work: nothing is
+shuffled, and the work is in proportion to the text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholarium.functions import text as tx
@@ -39,21 +40,37 @@ def strip_references(text: Column) -> Column:
     return F.when(F.length(body) < F.length(t) * 0.2, t).otherwise(body)
 
 
+def _pieces(paragraph: Column, most: int) -> Column:
+    """A paragraph in pieces of `most` characters, in one pass."""
+    return F.regexp_extract_all(paragraph, F.lit(rf"(?s).{{1,{most}}}"), F.lit(0))
+
+
 def chunks(text: Column, most: int = 800) -> Column:
-    """Paragraphs packed into chunks of under `most` characters; longer paragraphs are cut into pieces of their own."""
-    parts = paragraphs(tx.drop_image_marks(strip_references(text)))
+    """Paragraphs packed into chunks of under `most` characters; longer paragraphs are cut into pieces of their own.
+
+    Arrays are copied when something is appended, so paragraphs are packed block by block, about the square root of their
+    number in each: a block's chunks are appended to the list of blocks, which is flattened at the end.
+    """
     none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), F.lit("").alias("cur"))
-    flush = lambda a: F.when(a["cur"] != "", F.array_append(a["done"], a["cur"])).otherwise(a["done"])
-    pieces = lambda p: F.transform(F.sequence(F.lit(1), F.length(p), F.lit(most)), lambda i: F.substring(p, i, F.lit(most)))
+    flush = lambda done, cur: F.when(cur != "", F.array_append(done, cur)).otherwise(done)
 
     def step(a: Column, p: Column) -> Column:
         fits = F.length(a["cur"]) + F.length(p) < most
         longer = F.when(a["cur"] == "", p).otherwise(F.concat(a["cur"], F.lit("\n"), p))
-        closed = F.when(F.length(p) > most, F.struct(F.concat(flush(a), pieces(p)).alias("done"), F.lit("").alias("cur"))).otherwise(F.struct(flush(a).alias("done"), p.alias("cur")))
+        closed = F.when(F.length(p) > most, F.struct(F.concat(flush(a["done"], a["cur"]), _pieces(p, most)).alias("done"), F.lit("").alias("cur"))).otherwise(F.struct(flush(a["done"], a["cur"]).alias("done"), p.alias("cur")))
         return F.when(fits, F.struct(a["done"].alias("done"), longer.alias("cur"))).otherwise(closed)
 
-    return F.aggregate(parts, start, step, flush)
+    def block(a: Column, some: Column) -> Column:
+        packed = F.aggregate(some, F.struct(none.alias("done"), a["cur"].alias("cur")), step)
+        return tx.let(packed, lambda r: F.struct(F.array_append(a["lists"], r["done"]).alias("lists"), r["cur"].alias("cur")))
+
+    def pack(parts: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(parts).cast("double"))).cast("int")
+        blocks = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts), size), lambda i: F.slice(parts, i, size))).otherwise(F.array().cast("array<array<string>>"))
+        start = F.struct(F.array().cast("array<array<string>>").alias("lists"), F.lit("").alias("cur"))
+        return F.aggregate(blocks, start, block, lambda a: flush(F.flatten(a["lists"]), a["cur"]))
+
+    return tx.let(paragraphs(tx.drop_image_marks(strip_references(text))), pack)
 
 
 def chunk_rows(documents: DataFrame, most: int = 800) -> DataFrame:
@@ -61,35 +78,57 @@ def chunk_rows(documents: DataFrame, most: int = 800) -> DataFrame:
     return documents.select("doc_id", F.posexplode(chunks(F.col("text"), most)).alias("n", "chunk"))
 
 
+def classes(text: Column) -> Column:
+    """Array of (pos, kind, para): what each paragraph is. From a heading of references on everything is dropped; its place
+    is found in the array, so no paragraph leaves its document."""
+
+    def kind(p: Column, referred: Column) -> Column:
+        safe = p.rlike(PROTECTED)
+        return (
+            F.when(referred, "drop")
+            .when((p.rlike(DROP) | p.rlike(AUTHORS) | p.rlike(AFFILIATION)) & ~safe, "drop")
+            .when(p.rlike(CORE_HEAD) | p.rlike(QUANTITY), "core")
+            .when(p.rlike(INSTRUMENT) & ~safe, "brief")
+            .otherwise("keep")
+        )
+
+    def judged(paras: Column) -> Column:
+        heading = F.array_position(F.transform(paras, lambda p: p.rlike(REFERENCE_HEAD)), True)
+        return tx.let(F.coalesce(F.nullif(heading, F.lit(0)) - 1, F.size(paras)), lambda cut: F.transform(paras, lambda p, i: F.struct(i.alias("pos"), kind(p, i >= cut).alias("kind"), p.alias("para"))))
+
+    return tx.let(paragraphs(text), judged)
+
+
 def classify(documents: DataFrame) -> DataFrame:
-    """(doc_id, pos, kind, para): from a heading of references on everything is dropped."""
-    rows = documents.select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("pos", "para"))
-    p = F.col("para")
-    after = F.max(p.rlike(REFERENCE_HEAD)).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    kind = (
-        F.when(F.col("_refs"), "drop")
-        .when(~F.col("_safe") & (p.rlike(DROP) | p.rlike(AUTHORS) | p.rlike(AFFILIATION)), "drop")
-        .when(p.rlike(CORE_HEAD) | p.rlike(QUANTITY), "core")
-        .when(p.rlike(INSTRUMENT) & ~F.col("_safe"), "brief")
-        .otherwise("keep")
-    )
-    return rows.withColumns({"_refs": after, "_safe": p.rlike(PROTECTED)}).select("doc_id", "pos", kind.alias("kind"), "para")
+    """(doc_id, pos, kind, para), a row for each paragraph."""
+    return documents.select("doc_id", F.explode(classes(F.col("text"))).alias("c")).select("doc_id", "c.*")
+
+
+def condensed(judged: Column, with_methods: bool = True) -> Column:
+    """Of (pos, kind, para) in order: core and kept paragraphs, and one line with the names of the methods of the brief ones."""
+    of = lambda *kinds: F.filter(judged, lambda c: c["kind"].isin(*kinds))
+    body = F.array_join(F.transform(of("core", "keep"), lambda c: c["para"]), "\n\n")
+    if not with_methods:
+        return body
+    names = F.array_distinct(F.filter(F.transform(of("brief"), lambda c: tx.instrument_name(c["para"])), lambda n: n != ""))
+    return F.concat(body, tx.let(names, lambda n: F.when(F.size(n) > 0, F.concat(F.lit(CONDENSED), F.array_join(n, "; "))).otherwise("")))
+
+
+def condense(documents: DataFrame, with_methods: bool = True) -> DataFrame:
+    """(doc_id, text), the condensed text of every document that has a paragraph."""
+    judged = documents.select("doc_id", classes(F.col("text")).alias("c")).where(F.size("c") > 0)
+    return judged.select("doc_id", condensed(F.col("c"), with_methods).alias("text"))
 
 
 def filtered_text(classified: DataFrame, with_methods: bool = True) -> DataFrame:
-    """(doc_id, text): core and kept paragraphs, and one line with the names of the methods of the brief ones."""
-    kept = F.sort_array(F.collect_list(F.when(F.col("kind").isin("core", "keep"), F.struct("pos", "para"))))
-    briefs = F.sort_array(F.collect_list(F.when(F.col("kind") == "brief", F.struct("pos", tx.instrument_name(F.col("para")).alias("name")))))
-    both = classified.groupBy("doc_id").agg(kept.alias("kept"), briefs.alias("briefs"))
-    names = F.array_distinct(F.filter(F.transform("briefs", lambda b: b["name"]), lambda n: n != ""))
-    body = F.array_join(F.transform("kept", lambda k: k["para"]), "\n\n")
-    line = F.when(F.lit(with_methods) & (F.size(names) > 0), F.concat(F.lit(CONDENSED), F.array_join(names, "; "))).otherwise("")
-    return both.select("doc_id", F.concat(body, line).alias("text"))
+    """As condense, from rows (doc_id, pos, kind, para) that were classified before."""
+    listed = classified.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "para"))).alias("c"))
+    return listed.select("doc_id", condensed(F.col("c"), with_methods).alias("text"))
 
 
-def paragraph_stats(documents: DataFrame, classified: DataFrame) -> DataFrame:
+def document_stats(documents: DataFrame) -> DataFrame:
     """Per document: total characters, and for each kind its paragraphs (null if none) and characters (0 if none)."""
-    grouped = classified.groupBy("doc_id").pivot("kind", list(KINDS)).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("para")).alias("chars"))
-    total = documents.select("doc_id", F.length(tx.text_or_empty(F.col("text"))).alias("total"))
-    joined = total.join(grouped, "doc_id", "left")
-    return joined.select("doc_id", "total", *[F.col(f"{k}_n").alias(f"n_{k}") for k in KINDS], *[F.coalesce(f"{k}_chars", F.lit(0)).alias(f"chars_{k}") for k in KINDS])
+    judged = documents.select("doc_id", F.length(tx.text_or_empty(F.col("text"))).alias("total"), F.transform(classes(F.col("text")), lambda c: F.struct(c["kind"].alias("kind"), F.length(c["para"]).cast("long").alias("chars"))).alias("c"))
+    of = lambda kind: F.filter("c", lambda c: c["kind"] == kind)
+    counts = [F.nullif(F.size(of(k)).cast("long"), F.lit(0)).alias(f"n_{k}") for k in KINDS]
+    return judged.select("doc_id", "total", *counts, *[F.aggregate(of(k), F.lit(0).cast("long"), lambda s, c: s + c["chars"]).alias(f"chars_{k}") for k in KINDS])

@@ -7,27 +7,30 @@ from pyspark.sql import functions as F
 
 from scholarium.operators.papers import first_wins, page
 from scholarium.functions import text as tx
+from scholarium.sources.tables import broadcast_if_small
 
 RELATIONS = ("CITATIONS", "REFERENCES", "RELATED_WORKS")
 MOST_FORWARD = 50
 
 
 def _known(seeds: DataFrame, works: DataFrame) -> DataFrame:
-    """seeds (seed_pos, doi) with the id of their work, null if there is none."""
-    found = works.select(tx.doi_key(F.col("doi")).alias("_doi"), F.col("id").alias("seed")).where("_doi <> ''").groupBy("_doi").agg(F.min("seed").alias("seed"))
-    return seeds.withColumn("_doi", tx.doi_key(F.col("doi"))).join(found, "_doi", "left").drop("_doi")
+    """seeds (seed_pos, doi) with the id of their work, null if there is none. Works that no seed names leave first."""
+    keyed = seeds.withColumn("_doi", tx.doi_key(F.col("doi")))
+    asked = broadcast_if_small(keyed.select("_doi").where("_doi <> ''").distinct())
+    found = works.select(tx.doi_key(F.col("doi")).alias("_doi"), F.col("id").alias("seed")).join(asked, "_doi", "left_semi").groupBy("_doi").agg(F.min("seed").alias("seed"))
+    return keyed.join(found, "_doi", "left").drop("_doi")
 
 
 def backward(seeds: DataFrame, edges: DataFrame, works: DataFrame, limit: int = 40) -> DataFrame:
     """(seed_pos, seed, ord, id, doi, title, citations): the first `limit` references of each seed (seed_pos, seed)."""
-    cited = edges.where(F.col("ord") < limit).join(seeds.select("seed_pos", "seed"), F.col("citing") == F.col("seed"))
+    cited = edges.where(F.col("ord") < limit).join(broadcast_if_small(seeds.select("seed_pos", "seed")), F.col("citing") == F.col("seed"))
     return cited.select("seed_pos", "seed", "ord", F.col("cited").alias("id")).join(works.select("id", "doi", "title", "citations"), "id")
 
 
 def forward(seeds: DataFrame, edges: DataFrame, works: DataFrame, limit: int = 40) -> DataFrame:
-    """As backward, for the most cited works that cite each seed, 50 at most."""
-    citing = edges.select("citing", "cited").distinct().join(seeds.select("seed_pos", "seed"), F.col("cited") == F.col("seed"))
-    named = citing.select("seed_pos", "seed", F.col("citing").alias("id")).join(works.select("id", "doi", "title", "citations"), "id")
+    """As backward, for the most cited works that cite each seed, 50 at most. Only edges to seeds are made distinct."""
+    citing = edges.select("citing", "cited").join(broadcast_if_small(seeds.select("seed_pos", "seed")), F.col("cited") == F.col("seed"))
+    named = citing.select("seed_pos", "seed", F.col("citing").alias("id")).distinct().join(works.select("id", "doi", "title", "citations"), "id")
     by = Window.partitionBy("seed_pos", "seed").orderBy(F.desc("citations"), "id")
     return named.withColumn("ord", F.row_number().over(by) - 1).where(F.col("ord") < min(MOST_FORWARD, limit)).select("seed_pos", "seed", "ord", "id", "doi", "title", "citations")
 

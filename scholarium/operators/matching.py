@@ -2,63 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholarium.functions import scores
 from scholarium.functions import text as tx
+from scholarium.operators.vectors import nearest
 from scholarium.sources.tables import broadcast_if_small
 
 DUPLICATE, STRONG = 0.92, 0.75
 
 
+def _hashed(key: Column) -> Column:
+    """128 bits of a key, in hexadecimal digits; an empty key has none."""
+    return F.when(key != "", F.substring(F.sha2(key, 256), 1, 32))
+
+
 def library_keys(library: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct DOI keys and distinct title keys, empty ones apart."""
-    dois = library.select(tx.doi_key(F.col("doi")).alias("_doi")).where("_doi <> ''").distinct()
-    titles = library.select(tx.title_key(F.col("title")).alias("_title")).where("_title <> ''").distinct()
+    """Distinct DOI keys and distinct title keys, empty ones apart, hashed: a title may be as long as it likes."""
+    dois = library.select(_hashed(tx.doi_key(F.col("doi"))).alias("_doi")).where("_doi is not null").distinct()
+    titles = library.select(_hashed(tx.title_key(F.col("title"))).alias("_title")).where("_title is not null").distinct()
     return dois, titles
 
 
+def _marked(papers: DataFrame, dois: DataFrame, titles: DataFrame) -> DataFrame:
+    keyed = papers.withColumns({"_doi_key": _hashed(tx.doi_key(F.col("doi"))), "_title_key": _hashed(tx.title_key(F.col("title")))})
+    keyed = keyed.join(dois.withColumn("_d", F.lit(True)), F.col("_doi_key") == F.col("_doi"), "left")
+    keyed = keyed.join(titles.withColumn("_t", F.lit(True)), F.col("_title_key") == F.col("_title"), "left")
+    return keyed.withColumn("status", F.when(F.col("_d") | F.col("_t"), "have").otherwise("new")).drop("_doi_key", "_title_key", "_doi", "_title", "_d", "_t")
+
+
 def exact_match(papers: DataFrame, library: DataFrame) -> DataFrame:
     """papers with `status`: 'have' if the library has the DOI or the title, else 'new'. Keys are distinct, so no row multiplies."""
     dois, titles = library_keys(library)
-    keyed = papers.withColumns({"_doi_key": tx.doi_key(F.col("doi")), "_title_key": tx.title_key(F.col("title"))})
-    keyed = keyed.join(broadcast_if_small(dois.withColumn("_d", F.lit(True))), F.col("_doi_key") == F.col("_doi"), "left")
-    keyed = keyed.join(broadcast_if_small(titles.withColumn("_t", F.lit(True))), F.col("_title_key") == F.col("_title"), "left")
-    return keyed.withColumn("status", F.when(F.col("_d") | F.col("_t"), "have").otherwise("new")).drop("_doi_key", "_title_key", "_doi", "_title", "_d", "_t")
+    return _marked(papers, broadcast_if_small(dois), broadcast_if_small(titles))
+
+
+def keep_library(library: DataFrame, name: str, buckets: int = 64) -> None:
+    """Keeps the keys of a library as bucketed tables NAME_dois and NAME_titles, each file sorted, so that whatever is
+    matched with them later shuffles its own rows only."""
+    for keys, kind in zip(library_keys(library), ("doi", "title"), strict=True):
+        keys.repartition(buckets, f"_{kind}").write.mode("overwrite").bucketBy(buckets, f"_{kind}").sortBy(f"_{kind}").saveAsTable(f"{name}_{kind}s")
+
+
+def match_kept(papers: DataFrame, name: str) -> DataFrame:
+    """As exact_match, with a library that keep_library has kept. The library is neither shuffled nor counted."""
+    spark = papers.sparkSession
+    return _marked(papers, spark.table(f"{name}_dois"), spark.table(f"{name}_titles"))
 
 
 def in_library(discovered: DataFrame, library: DataFrame) -> DataFrame:
     """Discovery rows (title, doi ...) with `in_library`: whether the library has the title, or the DOI in any case, whose
     white space counts."""
-    titles = library.select(tx.title_key(F.col("title")).alias("_title")).where("_title <> ''").distinct().withColumn("_t", F.lit(True))
-    dois = library.select(F.lower(tx.text_or_empty(F.col("doi"))).alias("_doi")).where("_doi <> ''").distinct().withColumn("_d", F.lit(True))
-    keyed = discovered.withColumns({"_title_key": tx.title_key(F.col("title")), "_doi_key": F.lower(tx.text_or_empty(F.col("doi")))})
+    titles = library_keys(library)[1].withColumn("_t", F.lit(True))
+    dois = library.select(_hashed(F.lower(tx.text_or_empty(F.col("doi")))).alias("_doi")).where("_doi is not null").distinct().withColumn("_d", F.lit(True))
+    keyed = discovered.withColumns({"_title_key": _hashed(tx.title_key(F.col("title"))), "_doi_key": _hashed(F.lower(tx.text_or_empty(F.col("doi"))))})
     keyed = keyed.join(broadcast_if_small(titles), F.col("_title_key") == F.col("_title"), "left").join(broadcast_if_small(dois), F.col("_doi_key") == F.col("_doi"), "left")
     return keyed.withColumn("in_library", F.coalesce(F.col("_t") | F.col("_d"), F.col("_t"), F.col("_d"), F.lit(False))).drop("_title_key", "_doi_key", "_title", "_doi", "_t", "_d")
 
 
-def nearest(candidates: DataFrame, collection: DataFrame, n: int, most: int = 20_000) -> DataFrame:
-    """(pos, rank, id, sim): the n nearest of collection (id, vec) for each candidate (pos, vec), by cosine.
-
-    Every candidate, a stated query set, is compared with every row, in blocks of about `most` by `most`: rows are repeated
-    for each block of candidates and candidates for each piece of the collection, and block and piece are what they are
-    joined by. With one block the candidates are broadcast and the collection is scanned once. No method changes with the
-    sizes. Before they are shuffled, a task's rows are cut to n a candidate.
-    """
-    asked, rows = candidates.select("pos", F.col("vec").alias("_q")), collection.select("id", "vec")
-    blocks = max(1, -(-asked.count() // max(1, most)))
-    pieces = max(1, -(-rows.count() // max(1, most))) if blocks > 1 else 1
-    dealt = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    asked = asked.withColumn("_block", dealt("pos", blocks)).withColumn("_piece", every(pieces))
-    rows = rows.withColumn("_piece", dealt("id", pieces)).withColumn("_block", every(blocks))
-    pairs = rows.join(F.broadcast(asked) if blocks == 1 else asked, ["_block", "_piece"])
-    scored = pairs.select("pos", "id", scores.cosine(F.col("_q"), F.col("vec")).alias("sim"))
-    ordered = Window.partitionBy("pos").orderBy(F.desc("sim"), "id")
-    return scored.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= n)
-
-
 def with_topic(candidates: DataFrame, topic: DataFrame) -> DataFrame:
     """candidates with topic_sim, the cosine with the one vector of topic."""
     return candidates.join(F.broadcast(topic.select(F.col("vec").alias("_topic")).limit(1))).withColumn("topic_sim", scores.cosine(F.col("vec"), F.col("_topic"))).drop("_topic")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholarium.functions import scores
 from scholarium.functions import text as tx
+from scholarium.sources.store import settled
 
 
 def is_supplementary(doi: Column, venue: Column, citations: Column) -> Column:
@@ -64,6 +65,21 @@ def top(papers: DataFrame, n: int, *order: Column) -> DataFrame:
     return cut.withColumn("n", F.row_number().over(Window.orderBy(*order)))
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """All rows with their place `n` in the order, from 1: sorted ranges are written, counted, and numbered from what lies
+    before them. No task sees more than its range. Rows that are equal in the order are numbered in any way."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = settled(ranges.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    before, seen = [], 0
+    for r in placed.groupBy("_range").count().orderBy("_range").collect():  # a row a range
+        before.append((r["_range"], seen))
+        seen += r["count"]
+    offsets = spark.createDataFrame(before, "_range int, _before long")
+    return placed.join(F.broadcast(offsets), "_range").withColumn("n", F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")
+
+
 def page(rows: DataFrame, number: int, size: int, partition: list[str], *order: Column) -> DataFrame:
     """Page `number` (from 1) of each partition's list, with its `total` and `pages`; size is held to 1..200."""
     size = max(1, min(200, size))

@@ -262,14 +262,13 @@ b AS (SELECT doc_id, coalesce(string_agg(para, chr(10) || chr(10) ORDER BY pos)
 SELECT doc_id, body || CASE WHEN names IS NULL THEN '' ELSE chr(10) || chr(10) || '## Characterization methods (condensed)' || chr(10) || names END AS text FROM b LEFT JOIN m USING (doc_id)
 """)
 def si_filtered_text(spark, sf_dir):
-    return docs_.filtered_text(docs_.classify(_articles(spark, sf_dir)))
+    return docs_.condense(_articles(spark, sf_dir))
 
 
 @query(_ARTICLES + """
 SELECT a.doc_id, length(any_value(a.text)) AS total, """ + ", ".join(f"nullif(count(*) FILTER (kind = '{k}'), 0) AS n_{k}, coalesce(sum(length(para)) FILTER (kind = '{k}'), 0)::BIGINT AS chars_{k}" for k in docs_.KINDS) + " FROM a LEFT JOIN k ON k.doc_id = a.doc_id GROUP BY a.doc_id")
 def si_stats(spark, sf_dir):
-    rows = _articles(spark, sf_dir)
-    return docs_.paragraph_stats(rows, docs_.classify(rows))
+    return docs_.document_stats(_articles(spark, sf_dir))
 
 
 @query(r"SELECT doc_id, substr(array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), ' '), 1, 1500) AS abstract FROM documents")
@@ -284,13 +283,6 @@ def vector_input(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", tx.vector_text(F.col("lang"), F.col("text")).alias("input"))
 
 
-@query()
-def tfidf_vectors(spark, sf_dir):
-    """How many dimensions each document's vector uses, and its length (1, or 0 without words)."""
-    rows = search.vectorise(_read(spark, sf_dir, "documents").select("doc_id", "text"), "text", 1024)
-    return rows.select("doc_id", F.size(F.filter("vec", lambda x: x != 0)).alias("n_dims"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x), 3).alias("length"))
-
-
 @query(r"SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS answer FROM conversations")
 def answer_text(spark, sf_dir):
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.drop_thoughts(F.concat(F.lit("<think>as a "), "role", F.lit("\nI would</think>\n"), "text")).alias("answer"))

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholarium.functions import text as tx
 from scholarium.sources import schemas
+from scholarium.sources.store import replace_table
 
-#: A side is broadcast only if a count shows that it has no more (narrow) rows.
-BROADCAST_ROWS = 500_000
+#: A side is broadcast only if a count shows that it has no more rows, and no more bytes of text and arrays.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
+def _bytes(kind: T.DataType, c: Column) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long") * 16
+    return F.lit(8).cast("long")
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if one pass over it shows that it is small."""
+    size = df.agg(F.count("*").alias("n"), F.sum(sum((_bytes(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(0).cast("long"))).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= most and (size["b"] or 0) <= most_bytes else df
 
 
 def works(spark: SparkSession, path: str) -> DataFrame:
@@ -108,8 +120,8 @@ def read_window(windows: DataFrame, documents: DataFrame, length: int = 4000) ->
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """Replaces the table at path; the commit protocol shows readers the old files or the new ones."""
-    df.write.mode("overwrite").parquet(path)
+    """Replaces the table at path; a failing job leaves the old one."""
+    replace_table(df, path)
 
 
 def write_results(df: DataFrame, path: str) -> None:
