@@ -53,11 +53,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), at
 
 
-def runs(at: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(first, end) of runs of documents with at most RUN_BYTES each; a longer document is a run of its own."""
+def runs(at: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of documents with at most RUN_BYTES (or so many) each; a longer document is a run of its own."""
     first = 0
     while first < len(at) - 1:
-        end = max(first + 1, int(np.searchsorted(at, at[first] + RUN_BYTES, "right")) - 1)
+        end = max(first + 1, int(np.searchsorted(at, at[first] + (most or RUN_BYTES), "right")) - 1)
         yield first, end
         first = end
 
