@@ -5,7 +5,9 @@ characters per tag, scaled down by the share of link characters and link tags; a
 densities. The node with the largest sum is the core of the article; nodes outside it that are at least as dense as the
 least dense node on the core's path to <body> add their own densest subtrees. What is never article text (menus, forms,
 adverts, comments ...) is cut out of the tree first. Forms, and elements that only a class, an id or a role marks as such,
-are cut unless they wrap the article: then the density decides within them.
+are cut unless they wrap the article: then the density decides within them. Headings are never marked, and an element
+that only its id marks, as ids are often made of headings, is no more marked if it is a section with a heading and
+paragraphs of its own in which little is linked and nothing else is marked.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ _KIND = {"li": "li", "dt": "dd", "dd": "dd", "option": "option", "tr": "tr", "td
 _ENDS = {"li": ("li",), "dd": ("dd",), "option": ("option",), "td": ("td",), "tr": ("tr", "td"), "tbody": ("tbody", "tr", "td")}  # what a start tag of a kind ends
 _LIST_SCOPE = frozenset("ul ol dl table select menu html body".split())
 _NEVER = frozenset("head nav header footer aside script style noscript template iframe object canvas svg button select textarea dialog menu search".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SECTIONS = frozenset("article div section".split())
+_MUTE = frozenset("script style noscript template iframe object canvas svg".split())
 # Words in class, id or role that tell what a part of a page is for.
 _SIGNS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies copyright disqus footer gdpr "
@@ -127,7 +132,7 @@ class _Page:
     are nodes whose cut is settled when the whole tree is known. The time is in proportion to the page's length."""
 
     def __init__(self, text: str):
-        self.tag, self.parent, self.cut, self.marked = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.cut, self.marked, self.by_id = ["#root"], [-1], [False], [False], [False]
         self.pieces: list[tuple[int, str | None]] = []
         open_, at, length = _Open(self._ended), 0, len(text)
         while at < length:
@@ -169,15 +174,17 @@ class _Page:
         cut, marked = tag in _NEVER, tag == "form"
         if tag == "header" and open_.within("article", "main"):
             cut = False  # of the article, with its title
+        by_id = True
         if attrs and not cut and tag not in ("html", "body", "main"):
             for name, *values in _ATTR.findall(attrs):
                 name, value = name.lower(), "".join(values).lower()
                 if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                     cut = True
-                elif name in ("class", "id", "role") and any(map(_names, value.split())):
-                    marked = True
+                elif name in ("class", "id", "role") and tag not in _HEADINGS and any(map(_names, value.split())):
+                    marked, by_id = True, by_id and name == "id"
         self.cut.append(cut or self.cut[parent])
         self.marked.append(marked and not self.cut[-1])
+        self.by_id.append(by_id and tag in _SECTIONS)
         return len(self.tag) - 1
 
     def _settle(self) -> None:
@@ -194,6 +201,7 @@ class _Page:
                 plain[node] += len("".join(text.split()))
         for i in range(n - 1, 0, -1):
             plain[self.parent[i]] += plain[i]
+        self._spare_sections(plain, in_link)
         total = plain[next((i for i in range(n) if self.tag[i] == "body"), 0)]
         free = any(self.tag[i] in ("article", "main") and not under[i] and plain[i] for i in range(n))
         for i in range(n - 1, 0, -1):
@@ -206,6 +214,24 @@ class _Page:
         for i in range(1, n):
             self.cut[i] = self.cut[i] or self.marked[i] or self.cut[self.parent[i]]
 
+    def _spare_sections(self, plain: list[int], in_link: list[bool]) -> None:
+        """No more marks sections that only an id marks, with a heading and paragraphs that are mostly no links, and without
+        parts that are marked or cut themselves (as items of comments, forms or menus are)."""
+        n = len(self.tag)
+        headed, paragraphs, linked, odd = [False] * n, [0] * n, [0] * n, [False] * n
+        for node, text in self.pieces:
+            if text is not None and not self.cut[node] and in_link[node]:
+                linked[node] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            if self.marked[i] and self.by_id[i] and headed[i] and not odd[i] and paragraphs[i] > 2 * linked[i]:
+                self.marked[i] = False
+            if self.tag[i] == "p" and not self.cut[i]:
+                paragraphs[i] = plain[i]
+            headed[p] = headed[p] or headed[i] or self.tag[i] in _HEADINGS and plain[i] + linked[i] > 0
+            paragraphs[p], linked[p] = paragraphs[p] + paragraphs[i], linked[p] + linked[i]
+            odd[p] = odd[p] or odd[i] or self.marked[i] or self.cut[i] and not self.cut[p] and self.tag[i] not in _MUTE
+
     def chosen(self) -> list[bool]:
         """Which nodes are of the article."""
         n = len(self.tag)
