@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from scholarium.llm.frames import materialise
 
-#: Vectors for the fit at most; vectors that a partition should have; sampled vectors that show a partition's shape.
-SAMPLE, PER_PARTITION, SHAPE = 16_384, 128, 32
+#: Vectors for the fit at most, and bytes of them, as they come to the driver packed; vectors that a partition should have;
+#: sampled vectors that show a partition's shape.
+SAMPLE, SAMPLE_BYTES, PER_PARTITION, SHAPE = 16_384, 32 << 20, 128, 32
 #: Vectors, and queries, that meet in one task at most (about, as they are dealt by a hash).
 PIECE = 4096
 WISHED = 0.95
@@ -99,27 +100,27 @@ class Router:
 
     def __init__(self, sample: np.ndarray, n: int, k: int, wished: float = WISHED):
         parts = 1 << max(0, min(int(np.log2(max(1, n / PER_PARTITION))), int(np.log2(max(1, len(sample) / SHAPE)))))
-        self.mean = sample.mean(0) if len(sample) else 0.0
+        self.mean = sample.mean(0, dtype=np.float64) if len(sample) else 0.0
         self.scale = 1.0 / max(1e-30, float(np.abs(sample - self.mean).std())) if len(sample) else 1.0
         self.parts, self.probes, self.weights = parts, parts, None
         if parts == 1:
             return
-        x = (sample - self.mean) * self.scale
+        x = ((sample - self.mean) * self.scale).astype(np.float32)
         held = np.arange(len(x)) % 8 == 0
         part = balanced_cut(x[~held], neighbour_graph(x[~held], 10), parts)
         self.weights = fit_classifier(x[~held], part, parts)
-        where = self.order(sample)
-        rank = np.empty_like(where)
-        np.put_along_axis(rank, where, np.arange(parts)[None, :].repeat(len(x), 0), 1)
         queries = np.flatnonzero(held)
-        near = neighbour_graph(x, k, queries)
-        needed = rank[queries[:, None], where[near, 0]]
+        own = np.concatenate([self.order(sample[i : i + 1024])[:, 0] for i in range(0, len(sample), 1024)])
+        where = self.order(sample[queries]).astype(np.int32)
+        rank = np.empty_like(where)
+        np.put_along_axis(rank, where, np.arange(parts, dtype=np.int32)[None, :].repeat(len(queries), 0), 1)
+        needed = np.take_along_axis(rank, own[neighbour_graph(x, k, queries)], 1)
         recall = np.cumsum(np.bincount(needed.ravel(), minlength=parts)) / needed.size
         self.probes = int(np.searchsorted(recall, wished) + 1)
 
     def order(self, x: np.ndarray) -> np.ndarray:
         """Partitions by probability, the most probable first."""
-        z = (np.asarray(x) - self.mean) * self.scale
+        z = (np.asarray(x, np.float64) - self.mean) * self.scale
         return np.argsort(-(z @ self.weights[:-1] + self.weights[-1]), axis=1, kind="stable")
 
 
@@ -133,6 +134,19 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.exists(vector, odd) & F.exists(vector, lambda x: x != 0)
 
 
+def _sampled(points: DataFrame, most: int, width: int) -> np.ndarray:
+    """The vectors of `most` points with the least hashes, as single-precision numbers."""
+
+    def packed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_matrix(batch.column(0)).astype(np.float32).tobytes()], pa.binary())], names=["packed"])
+
+    chosen = points.select("point").orderBy(F.xxhash64("point"), "point").limit(most)  # numbers only
+    rows = points.join(F.broadcast(chosen), "point", "left_semi").orderBy("point").select("v").mapInArrow(packed, "packed binary")
+    parts = [np.frombuffer(r["packed"], np.float32) for r in rows.toLocalIterator()]
+    return np.concatenate(parts).reshape(-1, width) if parts else np.zeros((0, width), np.float32)
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMPLE, wished: float = WISHED) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows of each row for which `queries` holds, by Euclidean
     distance of the original vectors in double precision, ties to the smaller vec_id.
@@ -148,8 +162,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMPL
     ids = rows.select("v", "vec_id").withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)  # no more of equal vectors can be among k
     points = materialise(ids.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).withColumn("point", F.element_at("ids", 1)))
     n = points.count()
-    some = points.orderBy(F.xxhash64("point"), "point").limit(sample).select("v").toPandas()
-    router = rows.sparkSession.sparkContext.broadcast(Router(np.array(some["v"].tolist(), np.float64).reshape(len(some), common["size"] if common else 1), n, k, wished))
+    width = common["size"] if common else 1
+    router = rows.sparkSession.sparkContext.broadcast(Router(_sampled(points, min(sample, SAMPLE_BYTES // (4 * width)), width), n, k, wished))
 
     def index(batches):
         for batch in batches:
