@@ -26,10 +26,9 @@ SPARE = 1e-6
 
 
 def distance(a: Column, b: Column) -> Column:
-    """Euclidean distance; the shorter vector goes on with zeros."""
-    n = F.greatest(F.size(a), F.size(b))
-    longer = lambda v: F.concat(v, F.array_repeat(F.lit(0.0), n - F.size(v)))
-    return F.sqrt(F.aggregate(F.zip_with(longer(a), longer(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    """Euclidean distance of unit vectors; of the longer one the rest meets zeros. Near 0 it is right to about 1e-8."""
+    together = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * together))
 
 
 def _directed(rows: DataFrame, key: str) -> DataFrame:

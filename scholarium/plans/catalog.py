@@ -273,9 +273,13 @@ def si_stats(spark, sf_dir):
 
 @query(r"SELECT doc_id, substr(array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), ' '), 1, 1500) AS abstract FROM documents")
 def abstract_restore(spark, sf_dir):
-    words = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array_remove(F.split("text", r"\s+"), "")).alias("p", "w"))
-    index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
-    return index.select("doc_id", tx.restore_abstract(F.col("index")).alias("abstract"))
+    """Texts from their inverted index, which is made in the row: words sorted with their places, and each word's run."""
+    words = F.array_remove(F.split(tx.text_or_empty(F.col("text")), r"\s+"), "")
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    begins = lambda o: F.filter(F.transform(o, lambda e, i: i), lambda i: (i == 0) | (F.get(o, i)["w"] != F.get(o, i - 1)["w"]))
+    run = lambda o, b, i, k: F.slice(o, i + 1, F.coalesce(F.get(b, k + 1), F.size(o)) - i)
+    entries = tx.let(placed, lambda o: tx.let(begins(o), lambda b: F.transform(b, lambda i, k: F.struct(F.get(o, i)["w"].alias("w"), F.transform(run(o, b, i, k), lambda e: e["i"]).alias("ps")))))
+    return _read(spark, sf_dir, "documents").select("doc_id", tx.restore_abstract(F.map_from_entries(entries)).alias("abstract"))
 
 
 @query(r"SELECT doc_id, regexp_replace(lang || '. ' || substr(text, 1, 1500), '^\s+|\s+$', '', 'g') AS input FROM documents")
