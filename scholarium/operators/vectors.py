@@ -116,7 +116,7 @@ def nearest(candidates: DataFrame, collection: DataFrame, n: int, most: int = 20
     pairs = compared(candidates, collection, n, most)
     scored = pairs.select("pos", "id", (scores.dot(F.col("a"), F.col("b")) / (F.col("na") * F.col("nb"))).alias("sim"))
     rows, asked = _directed(collection, "id"), _directed(candidates, "pos")
-    first = lambda some: F.broadcast(some.select("id").orderBy("id").limit(n).withColumn("one", F.lit(0)))
+    first = lambda some: F.broadcast(some.select("id").orderBy("id").limit(n).withColumn("one", _one(some, "id")))
     flat = [(asked.where("unit is not null"), first(rows.where("unit is null"))), (asked.where("unit is null"), first(rows))]
     for some, others in flat:
         scored = scored.unionByName(some.join(others, _one(some, "pos") == F.col("one")).select("pos", "id", F.lit(0.0).alias("sim")))
