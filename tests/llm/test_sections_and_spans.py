@@ -34,12 +34,12 @@ def test_parts_that_are_none_of_the_article_go(part):
         assert "Not of the article" not in text and text.count("A paragraph") == 6
 
 
-@pytest.mark.parametrize("text", ["call +1" + "(" * 1_000_000 + "2", "+1" + " " * 1_000_000 + "2345678901", "%%%%@" * 200_000, "+1((((" * 170_000, " at " * 250_000, "a@" * 500_000, "1.1." * 40_000, "4 4-" * 250_000])
-def test_long_texts_of_signs_take_time_in_proportion(spark, text):
-    docs = spark.createDataFrame([(1, text, "x"), (2, "mail me at a.b@example.com", "x")], "doc_id long, text string, base string")
+def test_long_texts_of_signs_take_time_in_proportion(spark):
+    texts = ["call +1" + "(" * 1_000_000 + "2", "+1" + " " * 1_000_000 + "2345678901", "%%%%@" * 200_000, "+1((((" * 170_000, " at " * 250_000, "a@" * 500_000, "1.1." * 20_000, "4 4-" * 250_000]
+    docs = spark.createDataFrame([*((i, t, "x") for i, t in enumerate(texts)), (99, "mail me at a.b@example.com", "x")], "doc_id long, text string, base string")
     began = time.time()
     got = {r.doc_id: len(r.base) for r in pii.find_spans(docs).collect()}
-    assert got[2] == 1 and time.time() - began < 20
+    assert got[99] == 1 and got[1] == 1 and got[6] == 10_000 and time.time() - began < 80
 
 
 def test_what_comes_before_an_at():
