@@ -21,8 +21,9 @@ from scholarium.sources.tables import broadcast_if_small
 
 #: Texts in a block (about); blocks that are scored for a question's floor.
 BLOCK, FIRST = 4096, 2
-#: Scores are rounded to so many places; equal ones are then in order of doc_id.
-PLACES = 9
+#: What terms add is counted in whole steps of one over UNITS, so that sums do not depend on their order; then scores are
+#: rounded to so many places, and equal ones are in order of doc_id.
+UNITS, PLACES = 1e12, 9
 
 
 def _part(tf: Column, length: Column, mean: float) -> Column:
@@ -48,6 +49,12 @@ def _scored(asked: DataFrame, postings: DataFrame, mean: float) -> DataFrame:
     return met.select("qid", "idf", F.explode("entries").alias("e")).select("qid", "e.doc_id", (F.col("idf") * _part(F.col("e.tf"), F.col("e.len"), mean)).alias("part"))
 
 
+def _whole(parts: DataFrame) -> DataFrame:
+    """(qid, doc_id, score) of (qid, doc_id, part)."""
+    steps = F.sum(F.floor(F.col("part") * UNITS + 0.5).cast("long"))
+    return parts.groupBy("qid", "doc_id").agg(F.round(steps / UNITS, PLACES).alias("score"))
+
+
 def search_many(spark: SparkSession, path: str, questions: DataFrame, k: int = 10) -> DataFrame:
     """(qid, rank, doc_id, score): the k best texts of the index for each question (qid, text), scores above 0 in places of
     PLACES, equal ones by doc_id. Texts are not read again, lists only of terms that are asked for."""
@@ -63,8 +70,7 @@ def search_many(spark: SparkSession, path: str, questions: DataFrame, k: int = 1
     reach = settled(asked.groupBy("qid", "block").agg(F.sum("bound").alias("reach")))
     top = reach.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("reach"), "block"))).where(F.col("_n") <= FIRST).select("qid", "block")
     best = lambda rows, n: rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= n)
-    whole = lambda parts: parts.groupBy("qid", "doc_id").agg(F.round(F.sum("part"), PLACES).alias("score"))
-    first = settled(best(whole(_scored(asked.join(top, ["qid", "block"]).drop("bound"), postings, mean)), k).drop("rank"))
+    first = settled(best(_whole(_scored(asked.join(top, ["qid", "block"]).drop("bound"), postings, mean)), k).drop("rank"))
     floor = first.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("floor"))
 
     # Blocks that may still have one of the k best, and their terms by their bounds, the least first.
@@ -74,5 +80,5 @@ def search_many(spark: SparkSession, path: str, questions: DataFrame, k: int = 1
     left = settled(asked.join(open_, ["qid", "block"]).withColumn("leads", F.sum("bound").over(below) >= F.col("floor")))
     leading = settled(_scored(left.where("leads").select("qid", "term", "block", "idf"), postings, mean))
     adding = _scored(left.where("not leads").select("qid", "term", "block", "idf"), postings, mean).join(leading.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi")
-    more = whole(leading.unionByName(adding))
+    more = _whole(leading.unionByName(adding))
     return best(first.unionByName(more).where("score > 0"), k).select("qid", "rank", "doc_id", "score")

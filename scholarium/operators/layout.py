@@ -38,17 +38,18 @@ def flat_blocks(blocks: DataFrame) -> DataFrame:
 
 def figure_boxes(blocks: DataFrame, pdf_pages: DataFrame | None = None) -> DataFrame:
     """(doc, page_idx, x0, y0, x1, y1, caption, num): blocks of images, charts and tables, joined down the page unless
-    the gap to the one before is over 15 % of its height. The page's first caption goes to its first group.
+    the gap to the one before is over 15 % of its height. Blocks of one place (y0, ord, y1) are in one group. The page's first
+    caption goes to its first group.
 
     blocks: doc, page_idx, page_w, page_h, ord, type, x0, y0, x1, y1, text, and caption, where captions of inner blocks
     count too (without it, texts that begin like one do). With pdf_pages (doc, page_idx, pdf_w, pdf_h)
     boxes are scaled to the PDF's pages, widened by 3 and held inside them.
     """
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    on_page = Window.partitionBy("doc", "page_idx").orderBy("y0", "ord")
+    on_page = Window.partitionBy("doc", "page_idx").orderBy("y0", "ord", "y1")
     seen = blocks.where(F.col("type").isin("image", "chart", "table") & (area >= 2500))
     apart = F.col("y0") - F.lag("y1").over(on_page) > F.col("page_h") * 0.15
-    groups = seen.withColumn("_new", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("gi", F.sum("_new").over(on_page.rowsBetween(Window.unboundedPreceding, 0)))
+    groups = seen.withColumn("_new", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("gi", F.sum("_new").over(on_page))
     boxes = groups.groupBy("doc", "page_idx", "gi").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"))
     caption = F.col("caption") if "caption" in blocks.columns else F.when(F.col("text").rlike(CAPTION), F.col("text"))
     captions = blocks.withColumn("_c", caption).where("_c is not null").groupBy("doc", "page_idx").agg(F.substring(F.min_by("_c", "ord"), 1, 150).alias("_caption"))

@@ -1,10 +1,12 @@
 import json
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from scholarium.operators import documents, graph, layout, matching, papers, responses, reviews, search
+from scholarium.plans import catalog
 from scholarium.sources import tables
 
 PAPER = "pos long, title string, venue string, citations int, doi string"
@@ -203,3 +205,23 @@ def test_tfidf_vectors_by_their_definition(spark):
         weights = sorted(text.split().count(w) * math.log((len(texts) + 1) / (df[w] + 1)) for w in set(text.split()))
         norm = math.sqrt(sum(w * w for w in weights)) or 1.0
         assert [round(w / norm, 5) for w in weights if w] == [round(v, 5) for v in sorted(v for v in row.vec if v)]
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_figures_of_equal_places_do_not_depend_on_their_order(spark, reverse):
+    """Two blocks of one place, far below the one before, and two of one top with different ends."""
+    rows = [("a", 1, 0.0, 100.0, 80.0), ("a", 2, 400.0, 100.0, 480.0), ("a", 2, 400.0, 200.0, 480.0), ("b", 1, 0.0, 100.0, 80.0), ("b", 1, 0.0, 100.0, 300.0), ("b", 2, 310.0, 100.0, 390.0)]
+    rows = [(doc, 0, 600.0, 1000.0, i, "image", 0.0, y0, x1, y1, "") for doc, i, y0, x1, y1 in rows]
+    got = layout.figure_boxes(spark.createDataFrame(rows[:: -1 if reverse else 1], "doc string, page_idx int, page_w double, page_h double, ord int, type string, x0 double, y0 double, x1 double, y1 double, text string").coalesce(1))
+    assert sorted((r.doc, r.num, r.y0, r.x1, r.y1) for r in got.collect()) == [("a", 1, 0.0, 100.0, 80.0), ("a", 2, 400.0, 200.0, 480.0), ("b", 1, 0.0, 100.0, 390.0)]
+
+
+@pytest.mark.parametrize("name", ["figure_boxes", "figure_rectangles", "figure_captions"])
+def test_the_sql_of_figures_leaves_no_ties_to_chance(name):
+    """The groups are the same whichever of two equal blocks comes first."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE lineitem AS SELECT doc AS l_orderkey, n::INT AS l_linenumber, 40.0::DOUBLE AS l_quantity, 'A' AS l_returnflag FROM range(50) AS d(doc), (VALUES (1), (4), (4), (4), (7)) AS v(n)")
+    sql = catalog.SQL[name]
+    assert sql.count("FROM v)") == 1
+    found = [con.execute(sql.replace("FROM v)", f"FROM (SELECT * FROM v ORDER BY doc, y0, apart {order}))")).fetchall() for order in ("ASC", "DESC")]
+    assert sorted(found[0]) == sorted(found[1]) and len(found[0]) == 150

@@ -1,5 +1,6 @@
 """Vectors, sparse rows, the inverted index and related works against all pairs."""
 
+import itertools
 import math
 import random
 import re
@@ -205,3 +206,12 @@ def test_snowball_looks_at_seeds_first(spark):
     below = plan(found).split("Optimized Logical Plan")[1].split("Physical Plan")[0]
     aggregate = below.index("Aggregate [seed_pos")
     assert below.index("Join Inner", aggregate) < below.index("Range (0, 1000", aggregate)
+
+
+def test_scores_do_not_depend_on_the_order_of_sums(spark):
+    """Copies have the same terms, whose sum in another order may be on another side of the half of the last place."""
+    parts = [0.1, 0.7, 0.0000000005, 0.3]
+    assert len({round(sum(order), 9) for order in itertools.permutations(parts)}) == 2
+    rows = [(0, i, x) for i, order in enumerate(itertools.permutations(parts)) for x in order]
+    got = index._whole(spark.createDataFrame(rows, "qid int, doc_id int, part double").coalesce(1)).collect()
+    assert len(got) == 24 and len({r.score for r in got}) == 1
