@@ -55,7 +55,8 @@ def figure_boxes(blocks: DataFrame, pdf_pages: DataFrame | None = None) -> DataF
     captions = blocks.withColumn("_c", caption).where("_c is not null").groupBy("doc", "page_idx").agg(F.substring(F.min_by("_c", "ord"), 1, 150).alias("_caption"))
     boxes = boxes.join(captions, ["doc", "page_idx"], "left").withColumn("caption", F.when(F.col("gi") == 0, F.coalesce("_caption", F.lit(""))).otherwise("")).where(area >= 8000)
     if pdf_pages is not None:
-        boxes = boxes.join(pdf_pages, ["doc", "page_idx"])
+        of = pdf_pages.select(F.col("doc").alias("_doc"), F.col("page_idx").alias("_page"), "pdf_w", "pdf_h")
+        boxes = boxes.join(of, F.col("doc").eqNullSafe(F.col("_doc")) & F.col("page_idx").eqNullSafe(F.col("_page")))
         sx, sy = F.col("pdf_w") / F.col("page_w"), F.col("pdf_h") / F.col("page_h")
         boxes = boxes.withColumns({"x0": F.greatest(F.lit(0.0), F.col("x0") * sx - 3), "y0": F.greatest(F.lit(0.0), F.col("y0") * sy - 3), "x1": F.least(F.col("pdf_w"), F.col("x1") * sx + 3), "y1": F.least(F.col("pdf_h"), F.col("y1") * sy + 3)})
     numbered = boxes.withColumn("num", F.row_number().over(Window.partitionBy("doc").orderBy("page_idx", "gi")))
