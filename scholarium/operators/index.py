@@ -22,8 +22,8 @@ from scholarium.sources.tables import broadcast_if_small
 #: Texts in a block (about); blocks that are scored for a question's floor.
 BLOCK, FIRST = 4096, 2
 #: What terms add is counted in whole steps of one over UNITS, so that sums do not depend on their order; then scores are
-#: rounded to so many places, and equal ones are in order of doc_id.
-UNITS, PLACES = 1e12, 9
+#: rounded to so many places, by whole numbers of STEP steps, and equal ones are in order of doc_id.
+UNITS, PLACES, STEP = 1e12, 9, 1000
 
 
 def _part(tf: Column, length: Column, mean: float) -> Column:
@@ -51,8 +51,8 @@ def _scored(asked: DataFrame, postings: DataFrame, mean: float) -> DataFrame:
 
 def _whole(parts: DataFrame) -> DataFrame:
     """(qid, doc_id, score) of (qid, doc_id, part)."""
-    steps = F.sum(F.floor(F.col("part") * UNITS + 0.5).cast("long"))
-    return parts.groupBy("qid", "doc_id").agg(F.round(steps / UNITS, PLACES).alias("score"))
+    whole = parts.groupBy("qid", "doc_id").agg(F.sum(F.floor(F.col("part") * UNITS + 0.5).cast("long")).alias("steps"))
+    return whole.select("qid", "doc_id", (F.expr(f"(steps + {STEP // 2}) div {STEP}") / 10.0**PLACES).alias("score"))
 
 
 def search_many(spark: SparkSession, path: str, questions: DataFrame, k: int = 10) -> DataFrame:
