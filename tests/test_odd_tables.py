@@ -41,3 +41,17 @@ def test_scores_of_questions_are_rounded_as_whole_numbers(spark):
     assert "round(" not in __spark_entry__.oracle_sql()["search_questions"]
     parts = spark.createDataFrame([(1, 1, 3.0), (1, 1, 0.0123456785), (1, 2, 1.0000000005)], "qid int, doc_id int, part double")
     assert {r.doc_id: r.score for r in index._whole(parts).collect()} == {1: 3.012345679, 2: 1.000000001}
+
+
+def test_nearest_vectors_compare_no_pairs_row_by_row(spark):
+    """2,000 candidates against 40,000 vectors of one direction more or less: every pair is met, in matrix products."""
+    from pyspark.sql import functions as F
+
+    from scholarium.operators import matching
+
+    rows = spark.range(40_000).select("id", F.array(*[F.rand(i) + 1 for i in range(16)]).alias("vec"))
+    asked = rows.where("id % 20 = 0").withColumnRenamed("id", "pos")
+    found = matching.nearest(asked, rows, 1)
+    assert found.where("pos = id and sim > 0.999999").count() == 2_000
+    plan = found._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
