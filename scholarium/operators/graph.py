@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarium.operators.papers import first_wins, page
+from scholarium.operators.papers import first_wins
 from scholarium.functions import text as tx
 from scholarium.sources.tables import broadcast_if_small
 
 RELATIONS = ("CITATIONS", "REFERENCES", "RELATED_WORKS")
 MOST_FORWARD = 50
+#: Pairs of a partition (about), and parts that one work's list is dealt into.
+PAIRS, LIST_PARTS = 500_000, 4
 
 
 def _known(seeds: DataFrame, works: DataFrame) -> DataFrame:
@@ -62,4 +64,14 @@ def relations(edges: DataFrame, relation: str, number: int, size: int, related:
         pairs = related.select("id", "other")
     else:
         pairs = edges.select(F.col("cited").alias("id"), F.col("citing").alias("other")) if relation == "CITATIONS" else edges.select(F.col("citing").alias("id"), F.col("cited").alias("other"))
-    return page(pairs.distinct(), number, size, ["id"], F.col("other"))
+    # Partitions in proportion to the pairs, so that a task's memory does not grow with the table. A list is cut in each of its
+    # parts first, so that a work with very many others is not one task.
+    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // PAIRS))
+    dealt = pairs.withColumn("_part", F.pmod(F.xxhash64("other"), F.lit(LIST_PARTS)))
+    dealt = dealt.repartition(parts, "id", "_part").dropDuplicates(["id", "_part", "other"])
+    totals = dealt.groupBy("id", "_part").agg(F.count("*").alias("total")).repartition(parts, "id").groupBy("id").agg(F.sum("total").alias("total"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("other"))
+    size = max(1, min(200, size))
+    first = dealt.withColumn("_n", place("id", "_part")).where(F.col("_n") <= number * size).select("id", "other")
+    numbered = first.repartition(parts, "id").withColumn("_n", place("id")).where(F.col("_n").between((number - 1) * size + 1, number * size))
+    return numbered.drop("_n").join(totals, "id").select("id", "other", "total", F.ceil(F.col("total") / size).alias("pages"))

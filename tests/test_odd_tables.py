@@ -55,3 +55,15 @@ def test_nearest_vectors_compare_no_pairs_row_by_row(spark):
     assert found.where("pos = id and sim > 0.999999").count() == 2_000
     plan = found._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_pages_of_relations_have_partitions_in_proportion(spark, monkeypatch):
+    """Repeated pairs, and one work that all others cite."""
+    from scholarium.operators import graph
+
+    monkeypatch.setattr(graph, "PAIRS", 50)
+    edges = spark.range(600).selectExpr("id % 300 AS citing", "CAST(7 AS BIGINT) AS cited").unionByName(spark.range(600).selectExpr("id % 300 AS citing", "id % 40 + 100 AS cited"))
+    found = graph.relations(edges, "CITATIONS", 2, 10)
+    rows = sorted(tuple(r) for r in found.where("id = 7").select("other", "total", "pages").collect())
+    assert rows == [(i, 300, 30) for i in range(10, 20)]
+    assert "hashpartitioning(id" in found._jdf.queryExecution().toString() and ", 24)" in found._jdf.queryExecution().toString()
