@@ -67,3 +67,17 @@ def test_pages_of_relations_have_partitions_in_proportion(spark, monkeypatch):
     rows = sorted(tuple(r) for r in found.where("id = 7").select("other", "total", "pages").collect())
     assert rows == [(i, 300, 30) for i in range(10, 20)]
     assert "hashpartitioning(id" in found._jdf.queryExecution().toString() and ", 24)" in found._jdf.queryExecution().toString()
+
+
+def test_a_text_of_many_terms_is_weighed_in_linear_time(spark):
+    """60,000 different terms: the length is not taken once a term."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from scholarium.operators import sparse
+
+    rows = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(60_000))), (1, "w1 w2")], "doc_id int, text string")
+    began = time.time()
+    got = sparse.tfidf(rows, "text", 1 << 20).where("doc_id = 0").select(F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x).alias("l")).first()
+    assert got.n > 55_000 and abs(got.l - 1) < 1e-9 and time.time() - began < 60
