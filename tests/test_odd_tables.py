@@ -81,3 +81,16 @@ def test_a_text_of_many_terms_is_weighed_in_linear_time(spark):
     began = time.time()
     got = sparse.tfidf(rows, "text", 1 << 20).where("doc_id = 0").select(F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x).alias("l")).first()
     assert got.n > 55_000 and abs(got.l - 1) < 1e-9 and time.time() - began < 60
+
+
+def test_cosines_write_no_table_of_pairs(spark, monkeypatch):
+    """Rows whose columns are all shared: nothing is written between the steps."""
+    from pyspark.sql import functions as F
+
+    from scholarium.operators import sparse
+
+    monkeypatch.setattr(sparse, "settled", None)
+    rows = spark.range(200).select("id", F.array(F.lit(0), F.lit(1)).alias("indices"), F.array(F.cos(F.col("id") / 100), F.sin(F.col("id") / 100)).alias("values"))
+    asked = rows.where("id % 100 = 0").withColumnRenamed("id", "pos")
+    near = sorted((r.pos, r.id) for r in sparse.cosine_pairs(asked, rows, 0.9999).collect())
+    assert near == [(0, 0), (0, 1), (100, 99), (100, 100), (100, 101)]
