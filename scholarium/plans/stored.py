@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from scholarium.functions import text as tx
@@ -59,15 +60,34 @@ def result_files(spark, sf_dir):
 
 
 def _named(rows, path: str, name: str) -> None:
-    """A file `name` of text for each row (key, value), in a folder with the key's name: Spark writes a folder a key, and its
-    part file is then renamed."""
-    spark, folder, key = rows.sparkSession, store.scratch(rows.sparkSession), rows.columns[0]
-    rows.repartition(key).write.partitionBy(key).text(folder)
-    files, at = store.files(spark, folder)
-    for part in files.globStatus(at(f"{folder}/*/part-*")):
-        to = at(f"{path}/{part.getPath().getParent().getName().split('=', 1)[1]}")
-        files.mkdirs(to)
-        files.rename(part.getPath(), at(to, name))
+    """A file `name` of text for each row (key, value), in a folder with the key's name; rows of one key share its file, a line
+    each. Each task writes the files of its keys itself, through Arrow's file systems (file, s3, gs, hdfs, viewfs), so that
+    nothing is done a key at a time by the driver. A file gets its name when it is complete: a task that is tried again, or twice
+    at once, leaves it whole."""
+
+    def write(batches):
+        at, root = fs.FileSystem.from_uri(path)
+        last, out, part = None, None, None
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                at.move(part, f"{root}/{last}/{name}")
+
+        for batch in batches:
+            for key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if out is None or key != last:
+                    close()
+                    at.create_dir(f"{root}/{key}")
+                    last, part = key, f"{root}/{key}/.{name}-{uuid.uuid4().hex}"
+                    out = at.open_output_stream(part)
+                out.write(f"{value or ''}\n".encode())
+        close()
+        yield from ()
+
+    key, value = rows.columns
+    dealt = rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key)
+    dealt.mapInArrow(write, "done boolean").write.format("noop").mode("overwrite").save()
 
 
 @query("SELECT 'K' || s_suppkey AS att_key, strlen(s_name) + 1 AS size FROM supplier WHERE s_suppkey % 4 <> 1")

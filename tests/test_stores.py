@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholarium.operators import documents
+from scholarium.plans import stored
 from scholarium.sources import store, tables
 
 REVIEW = "key string, verdict string, rated_at string"
@@ -81,3 +82,27 @@ def test_many_chunks_of_one_document_take_linear_time(spark):
         began = time.time()
         got = spark.createDataFrame([(1, body)], "doc_id int, text string").select(F.size(documents.chunks(F.col("text"), most)).alias("n")).first()
         assert got.n == 50_000 and time.time() - began < 20
+
+
+def test_files_of_keys_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """A file a key, without a step of the driver for each; rows of one key share its file."""
+    monkeypatch.setattr(stored.store, "files", lambda *_: pytest.fail("the driver handles files"))
+    rows = spark.range(2000).select(F.concat(F.lit("K"), "id").alias("key"), F.concat(F.lit("é"), "id").alias("value"))
+    rows = rows.unionByName(spark.createDataFrame([("K7", "more"), ("none", None), (None, "lost")], "key string, value string"))
+    before = [spark.conf.get(name, None) for name in tables._LISTING]
+    stored._named(rows, f"file://{tmp_path}/files", "file.PDF")
+    got = {r.att_key: r.size for r in tables.attachments(spark, f"file://{tmp_path}/files").collect()}
+    assert got == {f"K{i}": len(f"é{i}\n".encode()) + 5 * (i == 7) for i in range(2000)} | {"none": 1}
+    assert sorted((tmp_path / "files/K7/file.PDF").read_text().split("\n")) == ["", "more", "é7"]
+    assert [spark.conf.get(name, None) for name in tables._LISTING] == before
+    assert all(p.name == "file.PDF" for p in (tmp_path / "files").rglob("*") if p.is_file())
+
+
+def listing_tasks(spark, read):
+    """Tasks of the jobs that list files while read() runs."""
+    spark.sparkContext.setJobGroup(f"list-{read.__name__}", "list")
+    read()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup(f"list-{read.__name__}") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return sum(tracker.getStageInfo(s).numTasks for s in stages)
