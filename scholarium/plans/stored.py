@@ -117,7 +117,7 @@ def layout_files(spark, sf_dir):
     page = F.struct(F.col("turn").cast("int").alias("page_idx"), F.array(F.lit(600.0), F.lit(800.0)).alias("page_size"), F.array(block("text", F.col("text"), 20.0), block("image", F.concat(F.lit("Figure "), F.col("turn").cast("string")), 300.0)).alias("para_blocks"))
     rows = _read(spark, sf_dir, "conversations").groupBy(F.concat(F.lit("L"), F.col("conv_id").cast("string")).alias("doc")).agg(F.to_json(F.struct(F.collect_list(page).alias("pdf_info"))).alias("value"))
     _named(rows, path, "layout.json")
-    found = tables.layout_blocks(spark, f"{path}/*/layout.json").withColumn("doc", F.element_at(F.split("doc", "/"), -2))
+    found = tables.layout_blocks(spark, path, "layout.json").withColumn("doc", F.element_at(F.split("doc", "/"), -2))
     content = F.col("block.lines")[0]["spans"][0]["content"]
     return found.select("doc", "page_idx", "page_w", "page_h", "ord", "block.type", content.alias("text"))
 

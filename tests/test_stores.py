@@ -106,3 +106,14 @@ def listing_tasks(spark, read):
     stages = [s for j in tracker.getJobIdsForGroup(f"list-{read.__name__}") for s in tracker.getJobInfo(j).stageIds]
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     return sum(tracker.getStageInfo(s).numTasks for s in stages)
+
+
+def test_layouts_of_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    stored._named(spark.range(300).select(F.col("id").cast("string").alias("key"), F.lit('{"pdf_info": [{"page_idx": 1, "page_size": [6.0, 8.0], "para_blocks": [{"type": "text"}]}]}').alias("value")), f"file://{tmp_path}/f", "layout.json")
+    (tmp_path / "f/7/other.json").write_text('{"pdf_info": [{"page_idx": 2, "para_blocks": [{"type": "no"}]}]}')
+
+    def layouts():
+        layouts.found = tables.layout_blocks(spark, str(tmp_path / "f"), "layout.json")
+
+    assert 0 < listing_tasks(spark, layouts) <= 16
+    assert {r.page_idx for r in layouts.found.collect()} == {1} and layouts.found.select("doc").distinct().count() == 300
