@@ -117,3 +117,13 @@ def test_layouts_of_many_folders_are_listed_in_few_tasks(spark, tmp_path):
 
     assert 0 < listing_tasks(spark, layouts) <= 16
     assert {r.page_idx for r in layouts.found.collect()} == {1} and layouts.found.select("doc").distinct().count() == 300
+
+
+def test_parsed_documents_of_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    stored._named(spark.range(300).select(F.col("id").cast("string").alias("key"), F.concat(F.lit("text "), "id").alias("value")), f"file://{tmp_path}/f", "full.md")
+
+    def parsed():
+        parsed.found = tables.parsed_documents(spark, str(tmp_path / "f"))
+
+    assert 0 < listing_tasks(spark, parsed) <= 16
+    assert {(r.doc_id, r.text) for r in parsed.found.collect()} == {(str(i), f"text {i}\n") for i in range(300)}
