@@ -215,3 +215,49 @@ def test_scores_do_not_depend_on_the_order_of_sums(spark):
     rows = [(0, i, x) for i, order in enumerate(itertools.permutations(parts)) for x in order]
     got = index._whole(spark.createDataFrame(rows, "qid int, doc_id int, part double").coalesce(1)).collect()
     assert len(got) == 24 and len({r.score for r in got}) == 1
+
+
+def related_by_hand(edges, k, threshold):
+    columns: dict = {}
+    for citing, cited in set(edges):
+        columns.setdefault(("+", cited), set()).add(citing)
+        columns.setdefault(("-", citing), set()).add(cited)
+    scores: dict = {}
+    for of in columns.values():
+        for a, b in itertools.permutations(of, 2):
+            scores.setdefault(a, Counter())[b] += 1 / len(of)
+    best = {a: sorted((-round(s, 9), b) for b, s in others.items() if s >= threshold - 1e-9)[:k] for a, others in scores.items()}
+    return sorted((a, rank, b) for a, found in best.items() for rank, (_, b) in enumerate(found, 1))
+
+
+def test_related_works_in_rounds_and_parts(spark, monkeypatch):
+    """Columns of several parts, works of several rounds and large columns that lead in one work only, of numbers and names."""
+    for name, value in (("SMALL", 3), ("CHUNK", 4), ("ROUND", 100), ("PAIRS", 50)):
+        monkeypatch.setattr(sparse, name, value)
+    rng = random.Random(8)
+    edges = [(rng.randrange(50), rng.randrange(40)) for _ in range(300)] + [(i, 99) for i in range(50)] + [(i, 98) for i in range(0, 50, 3)]
+    for kind, rows in (("long", edges), ("string", [(f"w{a:02}", f"w{b:02}") for a, b in edges])):
+        got = sparse.related(spark.createDataFrame(rows, f"citing {kind}, cited {kind}"), 15, 0.2)
+        want = related_by_hand(rows, 15, 0.2)
+        assert sorted((r.id, r["rank"], r.other) for r in got.collect()) == want and len(want) > 300
+
+
+def test_related_works_write_no_pair_below_the_threshold(spark, monkeypatch):
+    """43,000 pairs share a column of 30 works each, which relates none of them: no table of these pairs is written."""
+    written = []
+
+    def kept(f):
+        def run(*args):
+            df = f(*args)
+            written.append(df.count())
+            return df
+
+        return run
+
+    monkeypatch.setattr(sparse, "settled", kept(sparse.settled))
+    monkeypatch.setattr(sparse, "_product", kept(getattr(sparse, "_product", None)), raising=False)
+    rng = random.Random(1)
+    edges = [(citing, 10_000 + i) for i in range(100) for citing in rng.sample(range(3000), 30)]
+    got = sparse.related(spark.createDataFrame(edges, "citing long, cited long"))
+    assert sorted((r.id, r["rank"], r.other) for r in got.collect()) == related_by_hand(edges, 20, 0.05)
+    assert max(written) <= 2 * len(edges) + 1
