@@ -261,3 +261,13 @@ def test_related_works_write_no_pair_below_the_threshold(spark, monkeypatch):
     got = sparse.related(spark.createDataFrame(edges, "citing long, cited long"))
     assert sorted((r.id, r["rank"], r.other) for r in got.collect()) == related_by_hand(edges, 20, 0.05)
     assert max(written) <= 2 * len(edges) + 1
+
+
+def test_pages_of_derived_relations_compute_them_once(spark):
+    """Related works are a finished table: counting their pairs and cutting pages read it, and do not derive them again."""
+    edges = spark.range(400).select((F.col("id") % 40).alias("citing"), (F.col("id") * 7 % 31).alias("cited"))
+    found = sparse.related(edges)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    pages = graph.relations(edges, "RELATED_WORKS", 2, 3, found)
+    lists = {i: sorted(r.other for r in rows) for i, rows in itertools.groupby(sorted(found.collect(), key=lambda r: r.id), key=lambda r: r.id)}
+    assert sorted((r.id, r.other, r.total) for r in pages.collect()) == sorted((i, other, len(x)) for i, x in lists.items() for other in x[3:6])
