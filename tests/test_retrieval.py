@@ -263,6 +263,29 @@ def test_related_works_write_no_pair_below_the_threshold(spark, monkeypatch):
     assert max(written) <= 2 * len(edges) + 1
 
 
+def test_related_works_write_only_the_best_of_a_work(spark, monkeypatch):
+    """7,140 pairs reach the threshold, five of each work are asked for: no table has more rows than entries."""
+    written, write = [], sparse.settled
+    monkeypatch.setattr(sparse, "settled", lambda df: written.append((out := write(df)).count()) or out)
+    product = sparse._product
+    monkeypatch.setattr(sparse, "_product", lambda *args: written.append((out := product(*args)).count()) or out)
+    edges = [(i, 1000 + (i * 7 + j) % 40) for i in range(120) for j in range(6)] + [(i, 2000) for i in range(120)]
+    got = sparse.related(spark.createDataFrame(edges, "citing long, cited long"), 5, 1e-6)
+    assert sorted((r.id, r["rank"], r.other) for r in got.collect()) == related_by_hand(edges, 5, 1e-6)
+    assert max(written) <= 2 * len(edges)
+
+
+def test_related_works_are_summed_in_pieces(spark, monkeypatch):
+    """A partition whose pairs are summed again and again, with what large columns add, of numbers and names."""
+    rng = random.Random(5)
+    edges = [(rng.randrange(40), rng.randrange(30)) for _ in range(200)] + [(i, 98) for i in range(0, 40, 3)]
+    for name, value in (("SMALL", 9), ("MET", 50)):
+        monkeypatch.setattr(sparse, name, value)
+    for kind, rows in (("long", edges), ("string", [(f"w{a:02}", f"é{b:02}") for a, b in edges])):
+        sent = spark.createDataFrame(rows, f"citing {kind}, cited {kind}")
+        assert sorted((r.id, r["rank"], r.other) for r in sparse.related(sent, 7, 0.15).collect()) == related_by_hand(rows, 7, 0.15)
+
+
 def test_pages_of_derived_relations_compute_them_once(spark):
     """Related works are a finished table: counting their pairs and cutting pages read it, and do not derive them again."""
     edges = spark.range(400).select((F.col("id") % 40).alias("citing"), (F.col("id") * 7 % 31).alias("cited"))
