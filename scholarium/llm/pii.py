@@ -4,19 +4,24 @@ Generators with high recall propose spans, which may overlap; those that pass th
 says. The rest, looser forms such as `name (at) host dot com`, cards with dots, numbers without a plus sign or quoted
 credentials, are judged by boosted trees on format and context, and of overlapping ones the likeliest stays.
 
-The trees learn from a bounded sample of the documents. Lessons of label 1 are base spans in looser forms, at their own
+The trees learn from all documents; lessons that are alike are one row with their number as its weight, so that rows grow much
+slower than documents. Lessons of label 1 are base spans in looser forms, at their own
 places (of credentials: values quoted behind a name for one). Lessons of label 0 are what the checks refuse, and hard
 negatives: forms that look alike but are none, as versions, ISBNs, dates, order numbers, checksums or `look at x.com`,
-with the words that come before them, at places in the same documents. Documents that the trees do not see set each kind's
-threshold, as the least probability whose precision there is high; a kind without both labels there adds nothing.
+with the words that come before them, at places in the same documents. The quarter of the documents that the trees do not see
+sets each kind's threshold, as the least probability (of GRID steps) whose precision there is high; a kind without both labels
+there adds nothing.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import md5
+from itertools import groupby
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
@@ -29,10 +34,12 @@ from scholarium.llm.frames import materialise
 #: Kinds with base checks, and those that only the model finds.
 KINDS = ["email", "ip", "card", "phone"]
 ALL_KINDS = [*KINDS, "secret"]
-#: Documents that lessons are taken from, about, by a hash of doc_id; lessons that the fit and the thresholds may see at
-#: most, in the order of that hash.
-SAMPLE_DOCS, SAMPLE = 10_000, 60_000
-PRECISION, SUPPORT = 0.98, 20
+#: Of a threshold: precision, lessons of each label, and steps of the probability.
+PRECISION, SUPPORT, GRID = 0.98, 20, 10_000
+#: Different lessons that a task counts before it sends them, and those of a partition of the fit.
+COUNTED, LESSONS = 20_000, 50_000
+#: Cut points of a feature. MLlib chooses them from max(10,000, bins squared) rows, so that more rows get more bins.
+BINS, BINS_FOR = 64, 10_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -184,27 +191,27 @@ def covered(stretches: tuple[list[int], list[int]], start: int, end: int) -> boo
     return (at > 0 and stretches[1][at - 1] > start) or (at < len(stretches[0]) and stretches[0][at] < end)
 
 
-def _lessons(text: str, good: list[tuple[int, int, int]], refused: list[tuple[int, int, int]]) -> list[tuple[float, int, list[float]]]:
+def _lessons(text: str, good: list[tuple[int, int, int]], refused: list[tuple[int, int, int]]) -> Iterator[tuple[float, list[float]]]:
+    """(label, features) of the lessons of a text."""
     around = lambda s, e: (text[max(0, s - 40) : s], text[e : e + 10])
-    out = [(0.0, k, _features(k, text[s:e], *around(s, e))) for s, k, e in refused]
+    yield from ((0.0, _features(k, text[s:e], *around(s, e))) for s, k, e in refused)
     found = good + [(m.start(2), 4, m.end(2)) for m in _SECRET.finditer(text)]
     for s, k, e in found:
         before, after = around(s, e)
         for form in [text[s:e]] if k == 4 else _looser(k, text[s:e]):
-            out.append((1.0, k, _features(k, form, before, after)))
+            yield 1.0, _features(k, form, before, after)
         for i, (words, form) in enumerate(_HARD[k]):
             seed = f"{s}:{i}:{text[s:e]}"
             at = int(md5(seed.encode()).hexdigest()[:8], 16) % len(text)
             filled = _filled(form, seed)
             if k == 0:
                 words, filled = "", words + filled
-            out.append((0.0, k, _features(k, filled, text[max(0, at - 40) : at] + " " + words, " " + text[at : at + 9])))
-    return out
+            yield 0.0, _features(k, filled, text[max(0, at - 40) : at] + " " + words, " " + text[at : at + 9])
 
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 _ROWS = f"doc_id long, base {_SPAN}, loose {_SPAN}, features array<array<double>>"
-_LESSONS = "doc_id long, lessons array<struct<label:double,kind:int,features:array<double>>>"
+_LESSONS = "kept_out boolean, label double, features array<double>, n long"
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,11 +232,25 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("label", pa.float64()), ("kind", pa.int32()), ("features", pa.list_(pa.float64()))]))
+    """Batches (kept_out, text) as lessons with their number."""
+    counts: Counter = Counter()
+
+    def counted() -> pa.RecordBatch:
+        kept_out, label, features = zip(*counts, strict=True)
+        kinds = (pa.bool_(), pa.float64(), pa.list_(pa.float64()), pa.int64())
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((kept_out, label, features, list(counts.values())), kinds, strict=True)], names=["kept_out", "label", "features", "n"])
+        counts.clear()
+        return out
+
     for batch in batches:
-        texts = [text.as_py() or "" for text in batch.column(1)]
-        out = [[dict(zip(("label", "kind", "features"), x, strict=True)) for x in _lessons(text, *base_spans(text))] for text in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "lessons"])
+        for kept_out, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py() or ""
+            for label, features in _lessons(text, *base_spans(text)):
+                counts[kept_out, label, tuple(features)] += 1
+                if len(counts) >= COUNTED:
+                    yield counted()
+    if counts:
+        yield counted()
 
 
 def _likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,41 +271,51 @@ def _likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["row", "added"])
 
 
-def _thresholds(model, checked: DataFrame) -> dict[int, float]:
-    """Per kind with both labels among the kept-out lessons (at most SAMPLE rows) the least probability above which they
-    are right often enough."""
-    p = model.transform(checked).select("kind", "label", vector_to_array("probability")[1].alias("p")).toPandas()
+def _thresholds(model, checked: DataFrame) -> dict[int, int]:
+    """Per kind with both labels among the kept-out lessons (kind, label, n, features) the least step of the probability from
+    which on they are right often enough. The driver gets a row a kind and step at most."""
+    step = F.floor(vector_to_array("probability")[1] * GRID).alias("step")
+    right = F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("right")
+    steps = model.transform(checked).groupBy("kind", step).agg(right, F.sum("n").alias("n")).orderBy("kind", F.desc("step")).collect()
     out = {}
-    for kind, part in p.groupby("kind"):
-        if min((part["label"] == 1).sum(), (part["label"] == 0).sum()) < SUPPORT:
+    for kind, of_kind in groupby(steps, lambda r: r["kind"]):
+        part = list(of_kind)
+        positive, total, n, sum_right = sum(r["right"] for r in part), sum(r["n"] for r in part), 0, 0
+        if min(positive, total - positive) < SUPPORT:
             continue
-        part = part.sort_values(["p", "label"], ascending=[False, True], kind="stable")
-        right = (part["label"].cumsum() / range(1, len(part) + 1)).to_numpy()
-        last = part["p"].to_numpy() != part["p"].shift(-1).to_numpy()  # equal probabilities go together
-        good = part["p"].to_numpy()[last & (right >= PRECISION) & (part["label"].cumsum().to_numpy() >= SUPPORT)]
-        if len(good):
-            out[int(kind)] = max(0.5, float(good.min()))
+        for r in part:
+            n, sum_right = n + r["n"], sum_right + r["right"]
+            if sum_right >= max(SUPPORT, PRECISION * n):
+                out[kind] = max(GRID // 2, r["step"])
     return out
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, sample_docs: int = SAMPLE_DOCS):
-    """The trees and each kind's threshold, from the lessons of a sample of docs (doc_id, text); None and no thresholds
-    where lessons are too few."""
-    every = max(1, docs.count() // sample_docs)
-    taught = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(_teach, _LESSONS)
-    lessons = taught.where(F.size("lessons") > 0).select("doc_id", F.explode("lessons").alias("l")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def lessons_of(docs: DataFrame) -> DataFrame:
+    """(kept_out, label, features, n): how often each lesson comes in docs (doc_id, text), in all of them."""
     kept_out = (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 0).alias("kept_out")
-    lessons = materialise(lessons.select(kept_out, "l.label", "l.kind", array_to_vector("l.features").alias("features"))).coalesce(2).persist()
-    counts = {(r.kept_out, r.label): r["count"] for r in lessons.groupBy("kept_out", "label").count().collect()}
-    model, limits = None, {}
-    if all(counts.get((k, v), 0) >= SUPPORT for k in (True, False) for v in (0.0, 1.0)):
-        model = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.3, seed=7, maxBins=64).fit(lessons.where("not kept_out"))
-        limits = _thresholds(model, lessons.where("kept_out"))
+    taught = docs.select(kept_out, "text").mapInArrow(_teach, _LESSONS)
+    return taught.groupBy("kept_out", "label", "features").agg(F.sum("n").alias("n"))
+
+
+def learn(docs: DataFrame):
+    """The trees and each kind's threshold, from the lessons of docs (doc_id, text); None and no thresholds where lessons are
+    too few."""
+    counted = materialise(lessons_of(docs))
+    counts = {(r.kept_out, r.label): r for r in counted.groupBy("kept_out", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()}
+    if not all((k, v) in counts and counts[k, v].n >= SUPPORT for k in (True, False) for v in (0.0, 1.0)):
+        return None, {}
+    rows = sum(r.rows for r in counts.values())
+    ordered = counted.coalesce(max(2, -(-rows // LESSONS))).sortWithinPartitions("features", "label", "kept_out")
+    kind, n = F.get("features", F.lit(0)).cast("int").alias("kind"), F.col("n").cast("double").alias("weight")
+    lessons = ordered.select("kept_out", "label", kind, "n", n, array_to_vector("features").alias("features")).persist()
+    bins = BINS if rows <= BINS_FOR else max(BINS, isqrt(rows) + 1)
+    model = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.3, seed=7, maxBins=bins, weightCol="weight").fit(lessons.where("not kept_out"))
+    limits = _thresholds(model, lessons.where("kept_out"))
     lessons.unpersist()
     return model, limits
 
 
-def find_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def find_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): arrays of (start, kind, end) in code points, ordered by start, then kind as in ALL_KINDS.
 
     spans holds base and what the model adds; what it adds overlaps nothing of base, nor each other. A null text is empty.
@@ -292,14 +323,14 @@ def find_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     Without enough lessons of both labels a kind adds nothing. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    model, limits = learn(docs, sample)
+    model, limits = learn(docs)
     rows = materialise(docs.mapInArrow(_propose, _ROWS).withColumn("row", F.monotonically_increasing_id()))
     if not limits:
         return rows.select("doc_id", "base", F.col("base").alias("spans"))
     asked = rows.where(F.size("loose") > 0).select("row", F.explode(F.arrays_zip("loose", "features")).alias("c"))
     judged = model.transform(asked.select("row", "c.loose", array_to_vector("c.features").alias("features"))).select("row", "loose", vector_to_array("probability")[1].alias("p"))
-    limit = F.coalesce(*[F.when(F.col("loose.kind") == k, F.lit(v)) for k, v in limits.items()], F.lit(2.0))
-    found = judged.where(F.col("p") >= limit).groupBy("row").agg(F.collect_list("loose").alias("loose"), F.collect_list("p").alias("p"))
+    limit = F.coalesce(*[F.when(F.col("loose.kind") == k, F.lit(v)) for k, v in limits.items()], F.lit(2 * GRID))
+    found = judged.where(F.floor(F.col("p") * GRID) >= limit).groupBy("row").agg(F.collect_list("loose").alias("loose"), F.collect_list("p").alias("p"))
     added = found.mapInArrow(_likeliest, f"row long, added {_SPAN}")
     return rows.select("row", "doc_id", "base").join(added, "row", "left").select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce("added", F.array().cast(_SPAN)))).alias("spans"))
 

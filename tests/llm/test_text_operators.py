@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -247,6 +248,26 @@ def test_planted_looser_forms_are_added_and_decoys_are_not(spark):
     assert not any(got[i] for i in range(900) if i % 5 < 4)
 
 
+def test_the_trees_learn_from_every_document(spark):
+    """Of 21,000 documents a half by the hash of doc_id, which a sample of one in two left out, has all the personal data."""
+    told = F.format_string("write to jo.%d@mail%d.example.com or call +1 (212) 555-01%d", F.col("doc_id"), F.col("doc_id") % 7, 10 + F.col("doc_id") % 90)
+    docs = spark.range(21_000).withColumnRenamed("id", "doc_id")
+    docs = docs.select("doc_id", F.when((F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1) & (F.col("doc_id") % 20 == 0), told).otherwise("nothing").alias("text"))
+    model, limits = pii.learn(docs)
+    assert model is not None and {0, 3} <= set(limits)
+
+
+def test_lessons_are_counted_over_all_documents(spark, texts, monkeypatch):
+    monkeypatch.setattr(pii, "COUNTED", 3)
+    rows = [*texts, *((1000 + i, "mail a.b@example.com or +1 (212) 555-0100 from 10.0.0.7, not 1.2.3.999") for i in range(90)), (2000, "a@b.co " * 50)]
+    want: Counter = Counter()
+    for i, t in rows:
+        for label, features in pii._lessons(t or "", *pii.base_spans(t or "")):
+            want[zlib.crc32(str(i).encode()) % 4 == 0, label, tuple(features)] += 1
+    got = pii.lessons_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.kept_out, r.label, tuple(r.features)): r.n for r in got} == want and len(got) == len(want) and sum(want.values()) > 1500
+
+
 def test_long_texts_with_many_candidates_take_time_in_proportion():
     began = time.time()
     for text in ("a@b.co 1.2.3.4 " * 140_000, "a at b dot com " * 140_000, "1" * 2_000_000, "x at " * 400_000):
