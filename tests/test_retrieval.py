@@ -4,12 +4,14 @@ import itertools
 import math
 import random
 import re
+import uuid
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from scholarium.operators import graph, index, matching, papers, sparse, vectors
+from scholarium.sources import store
 
 
 def cosine(a, b):
@@ -155,6 +157,30 @@ def test_index_gives_the_best_texts_of_each_question(spark, tmp_path, block):
     assert "doc_id" in plan(found) and "text" not in re.sub("[^ ]*/[^ ]*", "", plan(found).split("ReadSchema", 1)[1])
 
 
+@pytest.mark.parametrize("least", [1, 200])
+def test_questions_are_answered_in_rounds_of_blocks(spark, tmp_path, monkeypatch, least):
+    """Rounds of one block or a few give the same answers, and no table of candidates stays."""
+    docs, questions = texts(4, 150), spark.createDataFrame(texts(9, 12), "qid long, text string")
+    index.build_index(spark.createDataFrame([*docs, (3, "t1 t2"), (3, "t1")], "doc_id long, text string"), str(tmp_path / "i"), 10)
+    want = sorted(map(tuple, index.search_many(spark, str(tmp_path / "i"), questions, 5).collect()))
+    monkeypatch.setattr(index, "ROUND", least)
+    monkeypatch.setattr(store, "scratch", lambda spark: str(tmp_path / f"table-{uuid.uuid4().hex}"))
+    found = index.search_many(spark, str(tmp_path / "i"), questions, 5)
+    left = [spark.read.parquet(str(path)).columns for path in tmp_path.glob("table-*")]
+    assert ["qid", "rank", "doc_id", "score"] in left and not [c for c in left if "part" in c]
+    assert sorted(map(tuple, found.collect())) == want and len(left) > 2
+
+
+def test_lists_are_made_where_a_block_is(spark, tmp_path):
+    """Texts with letters that change in lower case, and repeated words; a list is in the order of doc_id."""
+    docs = [(5, "B b a"), (-2, "a \u212aelvin \u0130x"), (9, None), (7, "...")]
+    index.build_index(spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path / "i"))
+    rows = spark.read.parquet(str(tmp_path / "i" / "postings")).collect()
+    got = {r.term: [tuple(e) for e in r.entries] for r in rows}
+    assert got == {"a": [(-2, 1, 4), (5, 1, 3)], "b": [(5, 2, 3)], "i": [(-2, 1, 4)], "kelvin": [(-2, 1, 4)], "x": [(-2, 1, 4)]}
+    assert all(r.n == len(r.entries) and r.best > 0 for r in rows)
+
+
 def test_index_reads_no_list_below_the_floor(spark, tmp_path, monkeypatch):
     """Blocks whose bound is below a question's floor, and candidates of the least terms, are left out."""
     read = []
