@@ -94,3 +94,22 @@ def test_cosines_write_no_table_of_pairs(spark, monkeypatch):
     asked = rows.where("id % 100 = 0").withColumnRenamed("id", "pos")
     near = sorted((r.pos, r.id) for r in sparse.cosine_pairs(asked, rows, 0.9999).collect())
     assert near == [(0, 0), (0, 1), (100, 99), (100, 100), (100, 101)]
+
+
+def test_cosines_in_rounds_copy_no_more_vectors_than_there_are_rows(spark, monkeypatch):
+    """3 blocks and 10 pieces meet in rounds, each pair once; what a round shuffles is the vectors of its blocks and pieces."""
+    from pyspark.sql import DataFrameWriter
+    from pyspark.sql import functions as F
+
+    from scholarium.operators import sparse
+
+    rows = spark.range(200).select("id", F.array(F.lit(0), F.lit(1)).alias("indices"), F.array(F.cos(F.col("id") / 100), F.sin(F.col("id") / 100)).alias("values"))
+    asked = rows.where("id % 4 = 0").withColumnRenamed("id", "pos")
+    want = sorted((r.pos, r.id, r.sim) for r in sparse.cosine_pairs(asked, rows, 0.9999).collect())
+    rounds, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: rounds.append(self) or write(self, *a, **b))
+    for name, n in (("ASKED", 20), ("PIECE", 20), ("COPIES", 1)):
+        monkeypatch.setattr(sparse, name, n)
+    got = sorted((r.pos, r.id, r.sim) for r in sparse.cosine_pairs(asked, rows, 0.9999).collect())
+    assert got == want and len(got) == len({g[:2] for g in got}) > 50
+    assert len(rounds) == -(-(50 * 10 + 200 * 3) // 200)
